@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import packing, token_counts
+from . import packing, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +16,17 @@ def op2_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.token_report(table(spark, root, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality.clean_lines(table(spark, root, "documents"), keep_text=False)
+
+
 def op7_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality.SQL}
