@@ -9,7 +9,7 @@ import re
 from itertools import chain
 
 #: Words kept per Python worker before the cache starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Words sent to the library in one call.
 WORDS_PER_CALL = 256
 
@@ -62,11 +62,14 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.by_word = drops_white_space(name)
         self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         path = vocabulary_path(name)
         if name.endswith(".json"):
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(path)
+            if self.by_word:
+                self._letters()
             self._ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
         else:
             import sentencepiece
@@ -74,12 +77,44 @@ class WordEncoder:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
             self._ids = self.library.encode
 
+    def _letters(self) -> None:
+        """Letters that the library's own normalizer and pre-tokenizer map one
+        by one.  Words of such letters, and marks after them, skip both."""
+        lib, table = self.library, {}
+        for code in range(0x41, 0x180):
+            own = chr(code)
+            if own.isalpha():
+                pieces = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(own))
+                pair = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(own + "a"))
+                if len(pieces) == len(pair) == 1 and pair[0][0] == pieces[0][0] + "a":
+                    table[code] = pieces[0][0]
+        self.table = table
+        letters = re.escape("".join(map(chr, table)))
+        self.plain = re.compile(f"([{letters}]+)([.,;:!?#$%&*|)\\]]*)")
+
+    def _stem(self, stem: str) -> bytes:
+        mapped = stem.translate(self.table)
+        found = self.stems.get(mapped)
+        if found is None:
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(mapped)])
+            self.stems[mapped] = found
+        return found
+
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.asarray(self._ids(text), dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
+        match, known = self.plain.fullmatch, self.words
+        split = [(w, match(w)) for w in words]
+        rest = {w for w, m in split if m is None} | {m[2] for _, m in split if m is not None and m[2]}
+        self._learn_by_library([w for w in rest if w not in known])
+        for w, m in split:
+            if m is not None:
+                known[w] = self._stem(m[1]) + known[m[2]] if m[2] else self._stem(m[1])
+
+    def _learn_by_library(self, words: list[str]) -> None:
         import numpy as np
 
         for at in range(0, len(words), WORDS_PER_CALL):
@@ -100,7 +135,7 @@ class WordEncoder:
         odd = [_OTHER_SPACE.search(t) is not None for t in texts]
         split = [[] if o else t.split() for t, o in zip(texts, odd)]
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
+            self.words, self.stems = {}, {}
         known = self.words
         missing = [w for w in set(chain.from_iterable(split)) if w not in known]
         self._learn(missing)
