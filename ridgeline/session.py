@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -29,3 +33,21 @@ def local_session(cores: int | str = 8, memory: str = "12g", **conf: str) -> Spa
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` below ``root``, by any path Spark can read."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of a session's executors import this package.
+
+    Where they already can (it is installed, or on their path), the shipped
+    copy is the same code.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_ridgeline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    name = Path(tempfile.mkdtemp(prefix="ridgeline-package-")) / "ridgeline.zip"
+    with zipfile.ZipFile(name, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(name))
+    context._ridgeline_shipped = True
