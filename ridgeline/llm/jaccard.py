@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import storage
+from .batches import map_batches
 from .components import components
 
 #: Id lists up to this many rows are broadcast (8 bytes each); longer ones join by a shuffle.
@@ -87,7 +88,7 @@ def frequent_shingles(docs: DataFrame, how: Join) -> Broadcast:
         if held:
             yield flush()
 
-    counted = docs.select("own_text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select("own_text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "h").limit(how.frequent).toPandas()
     hashes = rows["h"].to_numpy(dtype=np.int64, copy=True).view(K.U64)
     order = np.argsort(hashes)
@@ -126,7 +127,7 @@ def profiles(docs: DataFrame, how: Join, frequent: Broadcast) -> DataFrame:
                     names=["own_id", "n_shingles", "fp1", "fp2", "prefix", "buckets"],
                 )
 
-    return docs.select("own_id", "own_text").mapInArrow(run, PROFILE)
+    return map_batches(docs.select("own_id", "own_text"), run, PROFILE)
 
 
 def _passes(x: str, y: str, percent: int) -> Column:
@@ -173,8 +174,8 @@ def verified(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
                     linked.append(100 * common >= how.percent * (len(x) + len(y) - common) > 0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
-    return storage.materialize(found, "links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    return storage.materialize(map_batches(both, run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,3 +226,20 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
     # Rows that share an id may be of several classes; the id's least root holds for all.
     out = placed.select("k.own_id", "k.n_shingles", F.when(F.col("k.own_id").isNotNull(), F.coalesce("h.root", "k.own_id")).alias("component_id"))
     return out.withColumnRenamed("own_id", id_col)
+
+
+#: The same in DuckDB SQL, with the default parameters.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 2)), lambda i: array_to_string(ws[i:i+3], ' '))) AS g
+  FROM w WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, p.b FROM reach JOIN p ON reach.r = p.a)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON reach.doc_id = n.doc_id GROUP BY reach.doc_id
+"""

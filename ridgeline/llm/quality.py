@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .batches import map_batches
 
 #: Fixed values of the base statistics.
 SYMBOLS = "#*$%&|<>"
@@ -150,7 +151,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = RULES, *, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([part.column("own_id"), *arrays], names=["own_id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")).mapInArrow(run, f"own_id {kind}, {STATS}")
+    found = map_batches(docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text")), run, f"own_id {kind}, {STATS}")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = 100 * F.col("lost_words") > rules.lost_percent * F.col("n_words")
     found = found.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~lost)

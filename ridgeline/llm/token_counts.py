@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
+from .batches import map_batches
 from .tokenizing import drops_white_space, encoder, tokenizer_digest
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -51,7 +52,7 @@ def encode_missing(misses: DataFrame, tokenizer: str, version: str) -> DataFrame
                     names=["content", "tokenizer", "n_tokens"],
                 )
 
-    return misses.select("content", "normal").mapInArrow(run, CACHE_SCHEMA)
+    return map_batches(misses.select("content", "normal"), run, CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
