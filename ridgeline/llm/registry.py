@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, packing, quality, token_counts
+from . import jaccard, packing, quality, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,13 +24,17 @@ def op7_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, root: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, root, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, root, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op7_best_fit_packing, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op7_best_fit_packing, op8_secret_scans, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op10_ngram_jaccard": jaccard.SQL}
+    return {"op3_quality_rules": quality.SQL, "op8_secret_scans": secret_scan.sql(), "op10_ngram_jaccard": jaccard.SQL}
