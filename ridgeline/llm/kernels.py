@@ -152,10 +152,10 @@ def anchors(symbols: np.ndarray, at: np.ndarray, window: int, inner: int) -> dic
     (the leftmost of equals), which depends on its content alone: equal windows
     pick the same run at the same place.  Neighbouring windows with one pick
     are one row: text (index), start (first window, from the text's begin), n
-    (windows), name (hash of the run) and body (hash of all symbols that the
-    windows cover and of the run's place).
+    (windows), lead (symbols before the run), name (hash of the run) and body
+    (hash of all symbols that the windows cover and of the run's place).
     """
-    none = {k: np.zeros(0, np.int64) for k in ("text", "start", "n")} | {k: np.zeros(0, U64) for k in ("name", "body")}
+    none = {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "lead")} | {k: np.zeros(0, U64) for k in ("name", "body")}
     if len(symbols) < window:
         return none
     sums = prefix_sums(symbols)
@@ -178,4 +178,4 @@ def anchors(symbols: np.ndarray, at: np.ndarray, window: int, inner: int) -> dic
     first, chosen = places[head], pick[head]
     body = span_hash(sums, first, first + size + window - 1)
     body = scramble(body + (chosen - first).astype(U64) * U64(FACTOR) + size.astype(U64))
-    return {"text": text[head], "start": first - at[text[head]], "n": size, "name": runs[chosen], "body": body}
+    return {"text": text[head], "start": first - at[text[head]], "n": size, "lead": chosen - first, "name": runs[chosen], "body": body}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, packing, quality, secret_scan, token_counts
+from . import jaccard, packing, quality, secret_scan, substring_index, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +28,17 @@ def op8_secret_scans(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, root, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return substring_index.remove_repeats(table(spark, root, "documents"), keep_text=False).drop("kept_text")
+
+
 def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, root, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op7_best_fit_packing, op8_secret_scans, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op8_secret_scans": secret_scan.sql(), "op10_ngram_jaccard": jaccard.SQL}
+    return {"op3_quality_rules": quality.SQL, "op8_secret_scans": secret_scan.sql(), "op9_substring_dedup": substring_index.SQL, "op10_ngram_jaccard": jaccard.SQL}
