@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, packing, quality, secret_scan, substring_index, token_counts
+from . import jaccard, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(table(spark, root, "documents"), keep_text=False).drop("kept_bytes")
+
+
 def op2_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.token_report(table(spark, root, "documents"))
 
@@ -37,8 +41,8 @@ def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op8_secret_scans": secret_scan.sql(), "op9_substring_dedup": substring_index.SQL, "op10_ngram_jaccard": jaccard.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_quality_rules": quality.SQL, "op8_secret_scans": secret_scan.sql(), "op9_substring_dedup": substring_index.SQL, "op10_ngram_jaccard": jaccard.SQL}
