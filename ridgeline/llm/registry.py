@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import jaccard, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts
+from . import jaccard, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality.clean_lines(table(spark, root, "documents"), keep_text=False)
 
 
+def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
@@ -41,7 +45,7 @@ def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op5_toxicity, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
