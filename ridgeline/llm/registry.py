@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity
+from . import jaccard, metric_search, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+def op6_metric_top_k(spark: SparkSession, root: str) -> DataFrame:
+    return metric_search.top_k(table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"))
 
@@ -45,8 +50,8 @@ def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op5_toxicity, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op5_toxicity, op6_metric_top_k, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_quality_rules": quality.SQL, "op8_secret_scans": secret_scan.sql(), "op9_substring_dedup": substring_index.SQL, "op10_ngram_jaccard": jaccard.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_quality_rules": quality.SQL, "op6_metric_top_k": metric_search.SQL, "op8_secret_scans": secret_scan.sql(), "op9_substring_dedup": substring_index.SQL, "op10_ngram_jaccard": jaccard.SQL}
