@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard, metric_search, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity
+from . import jaccard, metric_search, mixing, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity
+
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     return quality.clean_lines(table(spark, root, "documents"), keep_text=False)
 
 
+def op4_source_mixing(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix_report(table(spark, root, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.toxicity(table(spark, root, "documents"), table(spark, root, "labels"))
 
@@ -50,8 +56,21 @@ def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_quality_rules, op5_toxicity, op6_metric_top_k, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard)}
+    found = (
+        op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_source_mixing, op5_toxicity,
+        op6_metric_top_k, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_quality_rules": quality.SQL, "op6_metric_top_k": metric_search.SQL, "op8_secret_scans": secret_scan.sql(), "op9_substring_dedup": substring_index.SQL, "op10_ngram_jaccard": jaccard.SQL}
+    """Tokenizers (2, 7) and a trained model (5) are beyond SQL."""
+    return {
+        "op1_suffix_dedup": suffix_dedup.SQL,
+        "op3_quality_rules": quality.SQL,
+        "op4_source_mixing": mixing.sql(),
+        "op6_metric_top_k": metric_search.SQL,
+        "op8_secret_scans": secret_scan.sql(),
+        "op9_substring_dedup": substring_index.SQL,
+        "op10_ngram_jaccard": jaccard.SQL,
+    }
