@@ -44,7 +44,7 @@ class LineRules:
     lines.
     """
 
-    noise_marks: int = 4
+    noise_marks: int = 3
     short_words: int = 4
     phrase_words: int = 20
     lost_percent: int = 50

@@ -254,7 +254,8 @@ def fit_linear(hits: list, y: np.ndarray, width: int, how: Training) -> np.ndarr
 
 def best_cut(logits: np.ndarray, truth: np.ndarray) -> float:
     """Logit that splits labelled rows with the fewest errors: the middle of
-    the widest such gap; 0 where only one class is known."""
+    the widest such gap; 0 where only one class is known.  Where no split is
+    better than calling every row clean, it is above all rows."""
     if not len(truth) or truth.min() == truth.max():
         return 0.0
     order = np.argsort(logits, kind="stable")
@@ -262,6 +263,8 @@ def best_cut(logits: np.ndarray, truth: np.ndarray) -> float:
     errors = np.cumsum(truth)[:-1] + (len(truth) - truth.sum()) - np.cumsum(1 - truth)[:-1]
     gaps = np.diff(logits)
     errors = np.where(gaps > 0, errors, np.inf)
+    if errors.min() >= truth.sum():
+        return float(logits[-1]) + 1.0
     best = np.flatnonzero(errors == errors.min())
     k = best[np.argmax(gaps[best])]
     return float((logits[k] + logits[k + 1]) / 2)

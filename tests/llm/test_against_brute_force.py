@@ -1,0 +1,340 @@
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from helpers import in_duckdb, same_rows
+
+from ridgeline.llm import jaccard, kernels, mixing, packing, quality, repeats, secret_scan, substring_index, suffix_dedup, token_counts
+from ridgeline.llm.tokenizing import WordEncoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = "word_bpe_49k.json"
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    return lambda text: found.encode(text or "", add_special_tokens=False).ids
+
+
+def rows_of(df):
+    return [(r.doc_id, r.text) for r in df.collect()]
+
+
+def repeated_bytes(docs, window):
+    """(id, length, removed, spans, digest) by counting every string."""
+    seen = Counter(t[i : i + window] for _, t in docs for i in range(len(t) - window + 1))
+    out = []
+    for doc, t in docs:
+        gone = np.zeros(len(t) + 1, dtype=int)
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                gone[i] += 1
+                gone[i + window] -= 1
+        cover = np.cumsum(gone)[: len(t)] > 0
+        spans = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
+        kept = bytes(b for b, c in zip(t, cover) if not c)
+        out.append((doc, len(t), int(cover.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def as_bytes(df):
+    return [(d, (t or "").encode()) for d, t in rows_of(df)]
+
+
+def test_op1_equals_brute_force(messy):
+    got = suffix_dedup.remove_repeated_bytes(messy.filter("doc_id IS NOT NULL"))
+    want = repeated_bytes(as_bytes(messy.filter("doc_id IS NOT NULL")), 200)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=repr) == want
+    assert any(w[2] for w in want)
+    assert all(hashlib.sha256(bytes(r.kept_bytes)).hexdigest() == r.kept_sha256 for r in got.collect())
+
+
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_op1_on_few_letters(spark, hot):
+    """Short windows over two letters: crowded groups, by sorting and by counting."""
+    rng = random.Random(5)
+    docs = [(k, "".join(rng.choice("ab") for _ in range(rng.randint(0, 300)))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.remove_repeated_bytes(df, repeats.Windows("bytes", 14, 5), hot_group=hot)
+    want = repeated_bytes([(d, t.encode()) for d, t in docs], 14)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()), key=repr) == want
+
+
+def test_op1_null_ids_are_kept_whole(messy):
+    got = suffix_dedup.remove_repeated_bytes(messy).filter("doc_id IS NULL").collect()
+    assert len(got) == 2 and all(r.n_removed == 0 for r in got)
+
+
+def test_op2_counts_as_the_library_does(spark, messy, library, tmp_path):
+    got = token_counts.token_report(messy, cache_path=f"file://{tmp_path}/cache")
+    want = Counter((d, len((t or "").encode()), len(library(t))) for d, t in rows_of(messy))
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == want
+    cached = token_counts.read_cache(spark, f"file://{tmp_path}/cache")
+    before = cached.count()
+    assert before == cached.select("content").distinct().count()
+    again = token_counts.token_report(messy, cache_path=f"file://{tmp_path}/cache")
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in again.collect()) == want
+    assert token_counts.read_cache(spark, f"file://{tmp_path}/cache").count() == before
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_op2_with_other_tokenizers(messy, name):
+    import public_tokenizers
+
+    small = messy.filter("doc_id < 17")
+    if name.endswith(".model"):
+        import sentencepiece
+
+        count = lambda t: len(sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name)).encode(t))
+    else:
+        from tokenizers import Tokenizer
+
+        count = lambda t: len(Tokenizer.from_file(public_tokenizers.path(name)).encode(t, add_special_tokens=False).ids)
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_report(small, name).collect())
+    assert got == Counter((d, count(t or "")) for d, t in rows_of(small))
+
+
+def test_word_cache_is_exact(library):
+    rng = random.Random(3)
+    letters = "aBcéÉßñ'.,!<|>7 #ŉİıſ́xyzÅÀİ_- 　\x1c\t"
+    texts = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(3000)] + ["<|ENDOFTEXT|> a<|endoftext|>b", "I'LL don't '''s"]
+    encoder = WordEncoder(TOKENIZER)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text), text
+
+
+def test_op3_equals_sql(messy, arrow_docs):
+    got = quality.clean_lines(messy.filter("doc_id IS NOT NULL"), keep_text=False)
+    ids = [r.doc_id for r in got.collect()]
+    same_rows(got.distinct(), in_duckdb(f"SELECT DISTINCT * FROM ({quality.SQL.replace('FROM documents', 'FROM (SELECT DISTINCT doc_id, text FROM documents)')})", {"documents": arrow_docs}))
+    assert len(ids) == messy.filter("doc_id IS NOT NULL").count()
+
+
+def test_op3_cleans_lines(messy):
+    got = {r.doc_id: r for r in quality.clean_lines(messy).collect()}
+    assert got[20].kept_text == "\n".join(["line one is here."] * 18)
+    assert got[1].kept_text == "" and got[1].base_failed and not got[1].kept and got[11].kept and not got[18].kept
+
+
+def test_op7_packs_all_pieces(messy, library):
+    capacity = 512
+    rows = packing.pack(messy, capacity=capacity).collect()
+    by_doc, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    want = Counter()
+    for doc, text in rows_of(messy):
+        ids = np.array([*library(text), 1], "<u4")
+        want.update((doc, k // capacity, k, len(ids[k : k + capacity]), zlib.crc32(ids[k : k + capacity].tobytes())) for k in range(0, len(ids), capacity))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_plan_equals_best_fit_decreasing(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 64, 100])
+    sizes = Counter(min(capacity, max(1, int(rng.expovariate(6 / capacity)))) for _ in range(400))
+    rooms = []
+    for size in sorted(sizes.elements(), reverse=True):
+        fits = [r for r in rooms if r >= size]
+        best = min(fits, default=None)
+        if best is None:
+            rooms.append(capacity - size)
+        else:
+            rooms[rooms.index(best)] -= size
+    plan = packing.best_fit_plan(dict(sizes), capacity)
+    used, placed = defaultdict(list), Counter()
+    for length, low, high, per_bin, first, base in plan:
+        for r in range(low, high):
+            used[first + (r - low) // per_bin].append((base + (r - low) % per_bin * length, length))
+            placed[length] += 1
+    assert placed == sizes and len(used) == len(rooms)
+    for items in used.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+def spans_by_hand(text):
+    """Base spans by Python's own matcher."""
+    found = []
+    for kind, pattern, group, least in (
+        ("assign", r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32),
+    ):
+        for m in re.finditer(pattern, text, re.IGNORECASE if kind == "assign" else 0):
+            if len(m[group]) >= least:
+                found.append((m.start(), ["assign", "access", "hex"].index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(found)]
+
+
+def test_op8_base_equals_python(messy):
+    got = Counter((r.doc_id, r.n_assign + r.n_access + r.n_hex, r.base_sha256) for r in secret_scan.secret_report(messy).collect())
+    want = Counter((d, len(s := spans_by_hand(t or "")), hashlib.sha256(",".join(s).encode()).hexdigest()) for d, t in rows_of(messy))
+    assert got == want
+
+
+def test_op8_equals_sql(messy, arrow_docs):
+    got = secret_scan.secret_report(messy.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    same_rows(got, in_duckdb(secret_scan.sql().replace("FROM documents", "FROM (SELECT DISTINCT doc_id, text FROM documents)"), {"documents": arrow_docs}))
+
+
+def test_op8_finds_random_tokens_but_no_words(spark):
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(k, "see " + "".join(rng.choice(letters) for _ in range(40)) + " here") for k in range(30)]
+    rows += [(100 + k, "international" + "alisation" * 2 + " aaaaaaaaaaaaaaaaaaaa1111 page/12/page/12/page/12/page ") for k in range(30)]
+    got = {r.doc_id: r for r in secret_scan.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[k].spans == "random:4:44" for k in range(30)) >= 27
+    assert not any(got[100 + k].n_random for k in range(30))
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([("é ab cd ef", [(2, 4), (3, 7)]), ("abc", []), ("abc", [(0, 3)])], "t string, spans array<struct<start:long,stop:long>>")
+    assert [r[0] for r in df.select(secret_scan.redact(df.t, df.spans, "#")).collect()] == ["é # ef", "abc", "#"]
+
+
+def kept_words(docs, window):
+    first = {}
+    lists = [(d, WORD.findall(t or "")) for d, t in docs]
+    for doc, words in lists:
+        for i in range(len(words) - window + 1):
+            key = tuple(words[i : i + window])
+            first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, words in lists:
+        gone = set()
+        for i in range(len(words) - window + 1):
+            if first[tuple(words[i : i + window])] < doc:
+                gone.update(range(i, i + window))
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        out.append((doc, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_op9_equals_brute_force(messy, batches):
+    docs = messy.filter("doc_id IS NOT NULL")
+    got = substring_index.remove_repeats(docs, batches)
+    want = kept_words(rows_of(docs), 50)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
+    assert any(w[2] for w in want)
+
+
+def test_op9_on_few_words(spark):
+    rng = random.Random(7)
+    docs = [(k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 120)))) for k in rng.sample(range(1000), 60)]
+    got = substring_index.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 5, repeats.Windows("words", 12, 4))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == kept_words(docs, 12)
+
+
+def test_op9_null_ids_are_kept_whole(messy):
+    got = substring_index.remove_repeats(messy).filter("doc_id IS NULL").collect()
+    assert len(got) == 2 and all(r.n_removed == 0 for r in got)
+
+
+def component_of(docs, words=4, percent=85):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets, parent = [], {d: d for d, _ in docs}
+    for doc, text in docs:
+        w = WORD.findall((text or "").translate(lower))
+        sets.append((doc, {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    return Counter((d, len(s), root(d)) for d, s in sets)
+
+
+def test_op10_equals_brute_force(messy):
+    docs = messy.filter("doc_id IS NOT NULL")
+    got = jaccard.near_duplicates(docs)
+    want = component_of(rows_of(docs))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+    nulls = jaccard.near_duplicates(messy).filter("doc_id IS NULL").collect()
+    assert len(nulls) == 2 and all(r.component_id is None for r in nulls)
+
+
+def test_op10_on_chains_of_edits(spark):
+    """Chains whose ends are far apart, and pairs on either side of the bound."""
+    rng = random.Random(2)
+    docs = []
+    for chain in range(6):
+        words = [f"w{rng.randint(0, 60)}" for _ in range(40)]
+        for step in range(12):
+            docs.append((len(docs) * 7 % 997, " ".join(words)))
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 9)}"
+    rng.shuffle(docs)
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), jaccard.Join(frequent=20))
+    want = component_of(docs)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+    assert len({w[2] for w in want}) < len(docs)
+
+
+def test_anchors_depend_on_content_alone():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 3, 400).astype(np.uint64)
+    whole = kernels.anchors(x, np.array([0, 400]), 20, 6)
+    part = kernels.anchors(x[100:300], np.array([0, 200]), 20, 6)
+    inside = {(s + 100, n, int(name), int(body)) for s, n, name, body in zip(part["start"], part["n"], part["name"], part["body"])}
+    outside = {(int(s), n, int(name), int(body)) for s, n, name, body in zip(whole["start"], whole["n"], whole["name"], whole["body"])}
+    assert len(inside - outside) <= 2 and whole["n"].sum() == 381 and part["n"].sum() == 181
+
+
+def test_op4_equals_sql(spark, messy, arrow_docs):
+    docs = messy.filter("doc_id IS NOT NULL")
+    got = mixing.mix_report(docs)
+    same_rows(got, in_duckdb(mixing.sql(), {"documents": arrow_docs}))
+
+
+def test_op4_meets_marginals(spark):
+    rng = random.Random(9)
+    rows = [(k, "w " * rng.choice([3, 40, 150, 300]), rng.choice(["en", "de", "de"]), rng.choice(["a", "a", "a", "b"])) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.25, "b": 0.75}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"note": 0.1, "article": 0.9}}
+    cells = mixing.mix_report(docs, mixing.Mix(targets=targets, rounds=40)).select("source", "lang", "topic", "weight").distinct().collect()
+    for dim, shares in targets.items():
+        for value, share in shares.items():
+            assert abs(sum(r.weight for r in cells if r[dim] == value) - share) < 1e-6
+    one = mixing.mix_report(docs, mixing.Mix(targets={"source": {"a": 1.0}})).filter("source = 'b'")
+    assert one.filter("selected OR weight > 0").isEmpty()
+
+
+def test_op4_samples_by_probability(spark):
+    rows = [(k, "a b c d", "en", f"s{k % 3 and 1}") for k in range(6000)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), mixing.Mix(budget=0.5)).collect()
+    for source in ("s0", "s1"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.selected for r in own) / len(own) - own[0].probability) < 0.03
+    assert abs(sum(r.n_tokens * r.probability for r in got) / 24_000 - 0.5) < 0.001
+
+
+@pytest.mark.parametrize(
+    "run",
+    [suffix_dedup.remove_repeated_bytes, token_counts.token_report, quality.clean_lines, mixing.mix_report, packing.pack, secret_scan.secret_report, substring_index.remove_repeats, jaccard.near_duplicates],
+)
+def test_empty_tables_give_no_rows(nothing, run):
+    assert run(nothing).collect() == []
