@@ -48,7 +48,7 @@ class Join:
 
     words: int = 4
     percent: int = 85
-    frequent: int = 200_000
+    frequent: int = 50_000
 
 
 def _sets(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:

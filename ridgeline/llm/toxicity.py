@@ -159,10 +159,16 @@ def presence(rows: DataFrame, buckets: list[int], keep: list[str]) -> DataFrame:
     return map_batches(rows.select(*keep, "text"), run, f"{kinds}, hits array<int>")
 
 
-def _matrix(hits: list, width: int) -> np.ndarray:
-    out = np.zeros((len(hits), width), dtype=np.float32)
-    for row, own in enumerate(hits):
-        out[row, own] = 1
+def _pairs(hits: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of a column of lists, without a Python object for each."""
+    column = hits.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column), dtype=np.int32), sizes), column.flatten().to_numpy()
+
+
+def _matrix(hits: pa.ChunkedArray, width: int) -> np.ndarray:
+    out = np.zeros((len(hits), width), dtype=np.uint8)
+    out[_pairs(hits)] = 1
     return out
 
 
@@ -181,6 +187,7 @@ class LabelModel:
     def _correlated(votes: np.ndarray, linked: float) -> list[list[int]]:
         """Voters grouped by correlation within a class."""
         n, width = votes.shape
+        votes = votes.astype(np.float32)
         centred = votes - votes.mean(axis=0) if n else votes
         scale = np.sqrt((centred**2).sum(axis=0))
         scale[scale == 0] = 1
@@ -214,16 +221,14 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
-def fit_linear(hits: list, y: np.ndarray, width: int, how: Training) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps on rows given as lists
-    of their features; the last weight is the constant.
+def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, how: Training) -> np.ndarray:
+    """Logistic regression by accelerated gradient steps, on the pairs of a row
+    and a feature in it; the last weight is the constant.
 
     Features are scaled by the root of their frequency, so that rare ones move
     as fast as common ones; the step is set by the largest curvature.
     """
     n = max(1, len(y))
-    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    cols = np.concatenate([np.asarray(h, dtype=np.int64) for h in hits]) if len(rows) else np.zeros(0, np.int64)
     scale = np.append(1 / np.sqrt(np.maximum(np.bincount(cols, minlength=width) / n, 1 / n)), 1.0)
 
     def forward(w: np.ndarray) -> np.ndarray:
@@ -295,23 +300,27 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> tup
     voters = list(dict.fromkeys([*map(word_bucket, LEXICON), *learnt]))
 
     # A bounded sample: votes and labels of at most how.rows documents.
-    cast = presence(sample, voters, ["doc_id", "toxic"]).toPandas().sort_values("doc_id")
-    votes = _matrix(cast["hits"].tolist(), len(voters))
+    cast = presence(sample, voters, ["doc_id", "toxic"]).toArrow().sort_by("doc_id")
+    votes = _matrix(cast["hits"], len(voters))
     fired = np.minimum(votes.sum(axis=1), 2) / 2
-    start = np.where(cast["toxic"].isna(), fired, cast["toxic"].fillna(0.0)).astype(float)
-    hints = cast["toxic"].map({1.0: how.label_odds, 0.0: -how.label_odds}).fillna(0.0).to_numpy()
+    truth = cast["toxic"].to_numpy().astype(float)  # nan: no label
+    start = np.where(np.isnan(truth), fired, truth)
+    hints = np.where(np.isnan(truth), 0.0, np.where(truth > 0.5, how.label_odds, -how.label_odds))
     model = LabelModel(votes, start, hints, how)
-    posterior = spark.createDataFrame(list(zip(cast["doc_id"].tolist(), model.toxic.tolist())), "doc_id long, posterior double")
+    posterior = spark.createDataFrame(pa.table({"doc_id": cast["doc_id"], "posterior": model.toxic}), "doc_id long, posterior double")
+    del cast, votes
     judged = sample.join(F.broadcast(posterior), "doc_id")
 
     mass = float(model.toxic.sum())
     features = _strongest(bucket_rates(judged, "posterior"), mass, len(model.toxic) - mass, how.features, how, True)
     features = list(dict.fromkeys([*voters, *features]))
-    seen = presence(judged, features, ["doc_id", "toxic", "posterior"]).toPandas().sort_values("doc_id")
-    weights = fit_linear(seen["hits"].tolist(), seen["posterior"].to_numpy(), len(features), how)
-    marked = seen[seen["toxic"].notna()]
-    logits = np.array([weights[h].sum() for h in marked["hits"]]) + weights[-1]
-    weights[-1] -= best_cut(logits, marked["toxic"].to_numpy())
+    seen = presence(judged, features, ["doc_id", "toxic", "posterior"]).toArrow().sort_by("doc_id")
+    rows, cols = _pairs(seen["hits"])
+    weights = fit_linear(rows, cols, seen["posterior"].to_numpy(), len(features), how)
+    logits = np.bincount(rows, weights=weights[cols], minlength=len(seen)) + weights[-1]
+    truth = seen["toxic"].to_numpy().astype(float)
+    marked = ~np.isnan(truth)
+    weights[-1] -= best_cut(logits[marked], truth[marked])
     return features, weights
 
 
