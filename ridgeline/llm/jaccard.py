@@ -48,7 +48,7 @@ class Join:
 
     words: int = 4
     percent: int = 85
-    frequent: int = 50_000
+    frequent: int = 100_000
 
 
 def _sets(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +89,20 @@ def frequent_shingles(docs: DataFrame, how: Join) -> Broadcast:
             yield flush()
 
     counted = map_batches(docs.select("own_text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "h").limit(how.frequent).toPandas()
-    hashes = rows["h"].to_numpy(dtype=np.int64, copy=True).view(K.U64)
-    order = np.argsort(hashes)
-    return docs.sparkSession.sparkContext.broadcast((hashes[order], rows["n"].to_numpy(dtype=np.int64, copy=True)[order]))
+    counted = storage.materialize(counted, "frequent")
+    # Whole bands of counts, the highest first, as far as they fit: no task and
+    # no driver ever holds more than how.frequent rows of them.
+    band = F.floor(F.log2("n") * 8).cast("int")
+    least, held = None, 0
+    for row in counted.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).orderBy(F.desc("band")).collect():
+        held += row["rows"]
+        if held > how.frequent:
+            break
+        least = row["least"]
+    rows = counted.filter(F.col("n") >= least if least is not None else F.lit(False)).toArrow().sort_by("h")
+    hashes, counts = (rows[c].to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(hashes.view(K.U64))
+    return docs.sparkSession.sparkContext.broadcast((hashes.view(K.U64)[order], counts[order]))
 
 
 def profiles(docs: DataFrame, how: Join, frequent: Broadcast) -> DataFrame:
@@ -213,6 +223,7 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
     members = shared.select("shingle", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
     members = storage.materialize(members, "members")
     mixed = members.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
+    mixed = storage.materialize(mixed, "mixed-shingles")
     members = storage.materialize(members.join(mixed, "shingle", "left_semi"), "mixed")
     x, y = members.alias("x"), members.alias("y")
     meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
