@@ -35,12 +35,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the Python workers of a session's executors import this package.
 
     Where they already can (it is installed, or on their path), the shipped
-    copy is the same code.
+    copy is the same code.  Arrow batches of a session that has not set their
+    size are made smaller, as their rows are whole texts.
     """
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "2000")
     context = spark.sparkContext
     if getattr(context, "_ridgeline_shipped", False):
         return
