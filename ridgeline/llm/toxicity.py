@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import storage
+from ..session import ship_package
 from .batches import map_batches
 
 BITS = 20
@@ -324,22 +325,23 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> tup
     return features, weights
 
 
-def score(docs: DataFrame, features: list[int], weights: np.ndarray, *, id_col: str = "doc_id", keep: Callable | None = None) -> DataFrame:
-    """``docs`` with ``score``, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((_index(features), np.asarray(weights)))
+def scorer(spark: SparkSession, features: list[int], weights: np.ndarray) -> Callable[[Column], Column]:
+    """A column function from texts to scores.  Only the texts go to Python."""
+    shared = spark.sparkContext.broadcast((_index(features), np.asarray(weights)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         table, w = shared.value
-        for whole in batches:
-            for part in K.slices(whole, "text"):
-                text, bucket = patterns(part.column("text"))
-                item = table[bucket].astype(np.int64)
-                text, item = _present(text[item >= 0], item[item >= 0], 1 << 15)
-                total = np.bincount(text, weights=w[item], minlength=part.num_rows) + w[-1]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], schema=None, names=[*part.schema.names, "score"])
+        scores = [np.zeros(0)]
+        for part in K.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            text, bucket = patterns(part.column("text"))
+            item = table[bucket].astype(np.int64)
+            text, item = _present(text[item >= 0], item[item >= 0], 1 << 15)
+            total = np.bincount(text, weights=w[item], minlength=part.num_rows) + w[-1]
+            scores.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+        return pa.array(np.concatenate(scores))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_batches(docs, run, f"{kinds}, score double")
+    ship_package(spark)
+    return F.arrow_udf(run, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
@@ -351,8 +353,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) ->
     held_out is null.  Repeated rows each return a row; an empty table none.
     Without toxic labels the lexicon votes alone.  Other columns are ignored.
     """
-    features, weights = train(docs, labels, how)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    scored = score(rows, features, weights)
+    score = scorer(docs.sparkSession, *train(docs, labels, how))
+    scored = docs.select("doc_id", score(F.coalesce("text", F.lit(""))).alias("score"))
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
