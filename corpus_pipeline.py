@@ -20,9 +20,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.5."""
-    features, weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select("text", F.struct("*").alias("row"))
-    return toxicity.score(whole, features, weights).filter("score < 0.5").select("row.*")
+    score = toxicity.scorer(spark, *toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score(F.coalesce("text", F.lit(""))) < 0.5)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
