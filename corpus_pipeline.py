@@ -12,6 +12,8 @@ from ridgeline.session import table
 
 #: Rows up to which a decision table is broadcast; longer ones join by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Near duplicates of the stage; the join's defaults are those of its own query.
+NEAR = jaccard.Join(words=5, percent=80)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -25,9 +27,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component; of rows that share an id,
-    one.  Rows without an id stay."""
-    found = jaccard.near_duplicates(docs)
+    """The document of least id of each component of texts that share 80 percent
+    of their 5-word shingles; of rows that share an id, one.  Rows without an id
+    stay."""
+    found = jaccard.near_duplicates(docs, NEAR)
     spare = storage.materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "spare-ids")
     kept = docs.join(_small(spare), "doc_id", "left_anti").select(docs.columns)
     again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")

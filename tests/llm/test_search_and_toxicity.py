@@ -148,6 +148,20 @@ def test_pipeline_equals_its_parts(spark):
     assert final and final <= kept
 
 
+def test_pipeline_drops_copies_of_80_percent(spark):
+    """Extended, cut and edited copies between the stage's rule and op10's."""
+    from test_against_brute_force import component_of
+
+    docs = []
+    for k, change in enumerate([lambda w: w + w[::-1][:13], lambda w: w[:-11], lambda w: w[:30] + ["edit"] + w[31:], lambda w: w + w[::-1][:20]]):
+        words = [f"w{k}x{j}" for j in range(60)]
+        docs += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(change(words)))]
+    kept = {d for d, _, c in component_of(docs, 5, 80) if d == c}
+    assert kept == {0, 10, 20, 30, 31} and kept < {d for d, _, c in component_of(docs) if d == c}
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(docs, "doc_id long, text string"), SMALL)
+    assert {r.doc_id for r in got.collect()} == kept
+
+
 def test_pipeline_on_empty_documents(spark, nothing):
     docs = nothing
     for _, stage in corpus_pipeline.STAGES:
