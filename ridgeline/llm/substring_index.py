@@ -30,12 +30,26 @@ WORDS = Windows("words", 50, 16)
 
 @dataclass
 class FingerprintIndex:
-    """Runs of (name, body, c, own_id, own_key, start, n, lead) in the warehouse."""
+    """Runs of (name, body, c, own_id, own_key, start, n, lead) in the warehouse.
+
+    ``texts``: tables of the indexed (own_id, own_key, own_text).  Windows of
+    differing bodies are compared on them, whichever call indexed the document.
+    """
 
     spark: SparkSession
     buckets: int
     fanout: int = 2
     runs: list[str] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Write the texts of ``rows``; all texts that the index holds."""
+        if self.runs and not self.texts:
+            raise ValueError("the index has runs but not the texts that they were made of")
+        name = f"ridgeline_texts_{uuid.uuid4().hex}"
+        rows.filter("own_id IS NOT NULL").write.saveAsTable(name)
+        self.texts.append(name)
+        return reduce(DataFrame.unionByName, map(self.spark.table, self.texts))
 
     def append(self, bodies: DataFrame) -> str:
         """Write one more run; ``bodies`` may hold a body more than once."""
@@ -131,9 +145,14 @@ def remove_repeats(docs: DataFrame, batches: int = 3, how: Windows = WORDS, *, i
     share an id never repeat each other.  Rows with a null id are kept whole
     and repeat nothing.  An empty table returns no rows.  Other columns are
     ignored.
+
+    With ``index``, documents of earlier calls count too, and those of this
+    call are added with their texts.  Results of earlier calls do not change.
     """
     spark = docs.sparkSession
     rows = repeats.keyed(docs, id_col, text_col)
+    # Before any run, so that a call that fails leaves no run without its texts.
+    texts = index.keep(rows) if index is not None else None
     index = index or FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.filter("own_id IS NOT NULL").approxQuantile("own_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
@@ -141,7 +160,7 @@ def remove_repeats(docs: DataFrame, batches: int = 3, how: Windows = WORDS, *, i
     for low, high in zip(edges, edges[1:]):
         below = F.col("own_id") < high if high is not None else F.lit(True)
         batch = rows.filter(below if low is None else below & (F.col("own_id") >= low))
-        found = storage.materialize(_batch_hits(index, batch, rows.filter(below), how), "hits")
+        found = storage.materialize(_batch_hits(index, batch, rows.filter(below) if texts is None else texts, how), "hits")
         hits = found if hits is None else hits.unionByName(found)
         index.compact()
     by_doc = hits.groupBy("own_id", "own_key").agg(F.collect_list(F.struct("start", "n", "windows")).alias("hits"))

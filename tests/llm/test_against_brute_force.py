@@ -244,6 +244,26 @@ def test_op9_on_few_words(spark):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == kept_words(docs, 12)
 
 
+def test_op9_repeats_of_earlier_calls(spark):
+    """Calls with one index: passages of earlier documents set in other text."""
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [word(n) for n in (13, 16, 30)]
+    docs = [(k, " ".join(word(20) + rng.choice(passages) + word(20))) for k in rng.sample(range(1000), 24)]
+    docs += [(1000 + k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for k in range(24)]
+    rng.shuffle(docs)
+    index, done, removed = substring_index.FingerprintIndex(spark, 4), [], 0
+    for call in (docs[:16], docs[16:32], docs[32:]):
+        done += call
+        got = substring_index.remove_repeats(spark.createDataFrame(call, "doc_id long, text string"), 2, repeats.Windows("words", 12, 4), index=index)
+        want = Counter({k: c for k, c in kept_words(done, 12).items() if k[0] in dict(call)})
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
+        removed += sum(w[2] for w in want)
+    assert removed
+    with pytest.raises(ValueError):
+        substring_index.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), index=substring_index.FingerprintIndex(spark, 4, runs=index.runs))
+
+
 def test_op9_null_ids_are_kept_whole(messy):
     got = substring_index.remove_repeats(messy).filter("doc_id IS NULL").collect()
     assert len(got) == 2 and all(r.n_removed == 0 for r in got)
