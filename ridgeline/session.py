@@ -35,18 +35,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own value of that setting, and this library's where it is unchanged.
+_SPARKS_BYTES, _BYTES = str(64 << 20), str(4 << 20)
 
 
 def ship_package(spark: SparkSession) -> None:
     """Let the Python workers of a session's executors import this package.
 
     Where they already can (it is installed, or on their path), the shipped
-    copy is the same code.  Arrow batches of a session that has not set their
-    size are made smaller, as their rows are whole texts.
+    copy is the same code.  Rows are whole texts, so Arrow batches of a session
+    that has not set their bytes are kept to 4 MB from then on; Spark reads
+    that setting when a plan runs, not when it is made.
     """
-    if spark.conf.get(_BATCH_ROWS) == "10000":
-        spark.conf.set(_BATCH_ROWS, "2000")
+    if spark.conf.get(_BATCH_BYTES).rstrip("b") == _SPARKS_BYTES:
+        spark.conf.set(_BATCH_BYTES, _BYTES)
     context = spark.sparkContext
     if getattr(context, "_ridgeline_shipped", False):
         return

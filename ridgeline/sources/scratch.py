@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local session, as in tests) is a
-    folder of this machine chosen instead.
+    Only where the setting is absent in a local session, as in tests, is a
+    folder of this machine chosen instead; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,3 +38,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    """The file system and path object of a path, by Spark's own means."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables (with a _SUCCESS mark) in a folder, in order."""
+    files, at = _at(spark, path)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    return sorted(n for n in names if _at(spark, f"{path}/{n}/_SUCCESS")[0].exists(_at(spark, f"{path}/{n}/_SUCCESS")[1]))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove one table's folder."""
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables that this library wrote in the session's
+    shared folder.  DataFrames that read them no longer work."""
+    delete(spark, f"{shared_dir(spark)}/ridgeline")
