@@ -1,16 +1,17 @@
 """Jaccard join on word n-grams by rare-first prefix filtering.
 
-Documents with equal sets are one class from the start.  Of each class's set,
+Documents of equal words are one class from the start.  Of each class's set,
 ordered rarest first, only a prefix is indexed: two sets that are similar
 enough share an n-gram there.  Length and positional filters apply to the
 shared n-grams, a suffix filter to the pairs, and each pair left is verified
-once on its texts.
-
-Links are found in two rounds.  First every member of an n-gram's group is
-held against one leader, the member with the fewest rarer n-grams; this ties
-large groups of near copies together with one pair a member.  Then pairs whose
-components still differ are held against each other, so that no link between
-components is lost.
+once, on the words of its texts.
+
+``linked_pairs`` gives every link between classes.  ``near_duplicates`` gives
+components, and finds them in two rounds.  First every member of an n-gram's
+group is held against one leader, the member with the fewest rarer n-grams;
+this ties large groups of near copies together with one pair a member.  Then
+pairs whose components still differ are held against each other, so that no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from .components import components
 
 #: Id lists up to this many rows are broadcast (8 bytes each); longer ones join by a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs that one copy of their more frequent text is sent for.
+PARTNERS = 64
 #: Buckets of the suffix filter's signature.
 BUCKETS = 32
-PROFILE = "own_id long, n_shingles long, fp1 long, fp2 long, prefix array<bigint>, buckets array<int>"
+PROFILE = "own_id long, n_shingles long, words1 long, words2 long, prefix array<bigint>, buckets array<int>"
 
 
 @dataclass(frozen=True)
@@ -51,12 +54,17 @@ class Join:
     frequent: int = 100_000
 
 
-def _sets(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of every text, text by text, and how many come
-    before each text (n + 1 places)."""
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case bytes of all texts, begin and end of their words, and the
+    words before each text (n + 1 places)."""
     raw, at = K.text_bytes(part.column("own_text"))
     raw = K.LOWER[raw]
-    begins, ends, first = K.word_bounds(raw, at)
+    return raw, *K.word_bounds(raw, at)
+
+
+def _sets(part: pa.RecordBatch, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of every text in order, text by text, and how
+    many come before each text (n + 1 places)."""
     hashes, base = K.shingle_hashes(K.word_hashes(raw, begins, ends), first, words)
     doc = np.repeat(np.arange(part.num_rows), np.diff(base))
     order = np.lexsort((hashes, doc))
@@ -82,8 +90,8 @@ def frequent_shingles(docs: DataFrame, how: Join) -> Broadcast:
 
         for whole in batches:
             for part in K.slices(whole, "own_text"):
-                held.append(_sets(part, how.words)[0])
-                if sum(map(len, held)) > 4_000_000:
+                held.append(_sets(part, *_words(part), how.words)[0])
+                if sum(map(len, held)) > 2_000_000:
                     yield flush()
         if held:
             yield flush()
@@ -106,35 +114,36 @@ def frequent_shingles(docs: DataFrame, how: Join) -> Broadcast:
 
 
 def profiles(docs: DataFrame, how: Join, frequent: Broadcast) -> DataFrame:
-    """Set size, fingerprint, rare-first prefix and bucket counts of each document."""
+    """Set size, digest of the words, rare-first prefix and bucket counts of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
         for whole in batches:
             for part in K.slices(whole, "own_text"):
-                h, base = _sets(part, how.words)
+                raw, begins, ends, first = _words(part)
+                h, base = _sets(part, raw, begins, ends, first, how.words)
+                data, word_begins, word_ends = K.spaced(raw, begins, ends)
+                places = np.append(word_begins, len(data))
+                digest = K.digests(data, places[first[:-1]], places[first[1:]])
                 n = np.diff(base)
                 doc = np.repeat(np.arange(len(n)), n)
-                zero = np.zeros(1, K.U64)
-                one = np.concatenate([zero, np.cumsum(K.scramble(h))])
-                two = np.concatenate([zero, np.cumsum(K.scramble(h ^ K.U64(K.FACTOR)))])
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[spot] == h, counts[spot], 0)
                 sorted_h = h[np.lexsort((h, rank, doc))]
                 size = np.where(n > 0, n - (how.percent * n + 99) // 100 + 1, 0)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                pick = np.arange(ends[-1]) + np.repeat(base[:-1] - ends[:-1], size)
+                cuts = np.concatenate([[0], np.cumsum(size)])
+                pick = np.arange(cuts[-1]) + np.repeat(base[:-1] - cuts[:-1], size)
                 bucket = np.bincount(doc * BUCKETS + (h % K.U64(BUCKETS)).astype(np.int64), minlength=len(n) * BUCKETS)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("own_id"), pa.array(n.astype(np.int64)),
-                        pa.array((one[base[1:]] - one[base[:-1]]).view(np.int64)), pa.array((two[base[1:]] - two[base[:-1]]).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sorted_h[pick].view(np.int64))),
+                        pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sorted_h[pick].view(np.int64))),
                         pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * BUCKETS).astype(np.int32)), pa.array(bucket.astype(np.int32))),
                     ],
-                    names=["own_id", "n_shingles", "fp1", "fp2", "prefix", "buckets"],
+                    names=["own_id", "n_shingles", "words1", "words2", "prefix", "buckets"],
                 )
 
     return map_batches(docs.select("own_id", "own_text"), run, PROFILE)
@@ -158,34 +167,112 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     return pairs.join(a, "a").join(b, "b").filter((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b").distinct()
 
 
+def shingle_set(text: bytes, words: int) -> set[tuple[bytes, ...]]:
+    """The set of a text, by its words themselves."""
+    found = text.translate(_LOWER).split()
+    return set(zip(*(found[k:] for k in range(words)))) if len(found) >= words else {tuple(found)} if found else set()
+
+
+_LOWER = K.LOWER.tobytes()
+
+
+def _led(pairs: DataFrame) -> DataFrame:
+    """(leader, member, block) of ``pairs``: the text in more pairs leads, with
+    up to about ``PARTNERS`` members in a block."""
+    counts = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    counts = storage.materialize(counts, "pair-counts")
+    both = pairs.join(counts.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(counts.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    first = F.col("ka") >= F.col("kb")
+    led = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("leader"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("ka", "kb").alias("k"))
+    return led.select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("k") / PARTNERS)).alias("block"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
-    """The pairs (a, b) whose texts link, each judged once."""
-    spark = docs.sparkSession
-    pairs = storage.materialize(pairs, "pairs")
-    ids = storage.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    """(a, b, common, total) of the pairs (a, b) that link, each judged once:
+    sizes of intersection and union.
+
+    A leader's text goes once to each block of its members, which then stream
+    past it.  Pairs that pass on hashes are counted on the words themselves.
+    """
+    led = storage.materialize(_led(storage.materialize(pairs, "pairs")), "led-pairs")
+    ids = storage.materialize(led.select(F.col("leader").alias("id")).union(led.select(F.col("member").alias("id"))).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = storage.materialize(docs.join(wanted, F.col("own_id") == F.col("id"), "left_semi").select("own_id", "own_text"), "pair-texts")
-    left = texts.select(F.col("own_id").alias("a"), F.col("own_text").alias("ta"))
-    right = texts.select(F.col("own_id").alias("b"), F.col("own_text").alias("tb"))
+    texts = storage.materialize(docs.join(wanted, F.col("own_id") == F.col("id"), "left_semi").select("own_id", "own_text").distinct(), "pair-texts")
+    leaders = led.select("leader", "block", F.lit(None).cast("long").alias("member")).distinct().join(texts, F.col("leader") == F.col("own_id"))
+    members = led.select("leader", "block", "member").join(texts, F.col("member") == F.col("own_id"))
+    streams = leaders.unionByName(members).select("leader", "block", "member", "own_text")
+    streams = streams.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("member").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                part = whole.slice(at, 200)
-                sides = []
-                for name in ("ta", "tb"):
-                    side = pa.RecordBatch.from_arrays([part.column(name)], names=["own_text"])
-                    sides.append(_sets(side, how.words))
-                (ha, la), (hb, lb) = sides
-                linked = []
-                for k in range(part.num_rows):
-                    x, y = ha[la[k] : la[k + 1]], hb[lb[k] : lb[k + 1]]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * common >= how.percent * (len(x) + len(y) - common) > 0)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return storage.materialize(map_batches(both, run, "a long, b long").distinct(), "links")
+            for part in K.slices(whole, "own_text"):
+                h, base = _sets(part, *_words(part), how.words)
+                raw, at = K.text_bytes(part.column("own_text"))
+                data, found = memoryview(raw), []
+                for k, (leader, block, member) in enumerate(zip(*(part.column(c).to_pylist() for c in ("leader", "block", "member")))):
+                    own, text = h[base[k] : base[k + 1]], data[at[k] : at[k + 1]]
+                    if member is None:
+                        if group != (leader, block):
+                            group, held = (leader, block), []
+                        held.append((own.copy(), bytes(text)))
+                        continue
+                    for other, words in held:
+                        if not len(own) or not len(other):
+                            continue
+                        common = int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum())
+                        if 100 * common >= how.percent * (len(own) + len(other) - common):
+                            x, y = shingle_set(words, how.words), shingle_set(bytes(text), how.words)
+                            common, total = len(x & y), len(x | y)
+                            if 100 * common >= how.percent * total:
+                                found.append((min(leader, member), max(leader, member), common, total))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 4)], names=["a", "b", "common", "total"])
+
+    best = map_batches(streams, run, "a long, b long, common long, total long").groupBy("a", "b").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("share"), "common", "total")).alias("x"))
+    return storage.materialize(best.select("a", "b", "x.common", "x.total"), "links")
+
+
+def _classes(docs: DataFrame, how: Join, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (own_id, own_text), their profiles, the classes of equal words
+    with the least id of each, and those ids' prefixes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("own_text"))
+    known = storage.materialize(profiles(rows, how, frequent_shingles(rows, how)), "profiles")
+    live = known.filter(F.col("own_id").isNotNull() & (F.col("n_shingles") > 0))
+    heads = storage.materialize(live.groupBy(*CLASS).agg(F.min("own_id").alias("id")), "classes")
+    own = live.alias("k").join(heads.alias("h"), [F.col("own_id") == F.col("id"), *_same_class()], "left_semi").select(F.col("own_id").alias("id"), F.col("n_shingles").alias("n"), "prefix", "buckets")
+    return rows, known, heads, storage.materialize(own, "class-profiles")
+
+
+CLASS = ["n_shingles", "words1", "words2"]
+
+
+def _same_class() -> list[Column]:
+    return [F.col(f"k.{c}") == F.col(f"h.{c}") for c in CLASS]
+
+
+def _entries(classes: DataFrame) -> DataFrame:
+    return classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+
+
+def linked_pairs(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link between texts of different words: a < b (the least ids of
+    their classes), common and total (sizes of intersection and union).
+
+    Handles odd rows as ``near_duplicates`` does.  The number of rows, and so
+    the work, grows with the links that there are.
+    """
+    rows, _, _, classes = _classes(docs, how, id_col, text_col)
+    x, y = _entries(classes).alias("x"), _entries(classes).alias("y")
+    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & _passes("x", "y", how.percent)
+    pairs = x.join(y, meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return verified(_suffix_filter(pairs, classes, how.percent), rows, how)
+
+
+def _by_id(known: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links between classes that rows of one id belong to."""
+    own = known.select("own_id", *CLASS).alias("k").join(heads.alias("h"), _same_class()).select("own_id", "id")
+    several = own.groupBy("own_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("own_id", "a")
+    return own.join(several, "own_id").filter("id > a").select("a", F.col("id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,22 +280,14 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
     n_shingles, component_id (least id reachable).
 
     Texts without words, empty and null texts have no shingles and are linked
-    with nothing: component_id is their own id.  Rows that share an id are one
-    document of the graph and each return a row.  Rows with a null id are
-    returned with a null component_id and link nothing.  An empty table
-    returns no rows.  Other columns are ignored.
+    with nothing: component_id is their own id.  Texts of any length count
+    whole.  Repeated rows and rows that share an id are one document of the
+    graph and each return a row; a tie of components goes to the least id.
+    Rows with a null id are returned with a null component_id and link nothing.
+    An empty table returns no rows.  Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("own_text"))
-    known = profiles(rows, how, frequent_shingles(rows, how))
-    known = storage.materialize(known, "profiles")
-    keys = ["n_shingles", "fp1", "fp2"]
-    live = known.filter(F.col("own_id").isNotNull() & (F.col("n_shingles") > 0))
-    heads = storage.materialize(live.groupBy(*keys).agg(F.min("own_id").alias("id")), "classes")
-    same = [F.col(f"k.{c}") == F.col(f"h.{c}") for c in keys]
-    classes = live.alias("k").join(heads.alias("h"), [F.col("own_id") == F.col("id"), *same], "left_semi").select(F.col("own_id").alias("id"), F.col("n_shingles").alias("n"), "prefix", "buckets")
-    classes = storage.materialize(classes, "class-profiles")
-
-    entries = classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    rows, known, heads, classes = _classes(docs, how, id_col, text_col)
+    entries = _entries(classes)
     leaders = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", "pos").alias("id"), F.min_by("n", "pos").alias("n"), F.min("pos").alias("pos"))
     leaders = storage.materialize(leaders.filter(F.col("members") > 1).drop("members"), "leaders")
     shared = entries.alias("x").join(leaders.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
@@ -217,7 +296,8 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
     )
     pairs = shared.filter("near").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     tried = storage.materialize(pairs, "tried")
-    links = verified(_suffix_filter(tried, classes, how.percent), rows, how)
+    links = verified(_suffix_filter(tried, classes, how.percent), rows, how).select("a", "b")
+    links = links.union(_by_id(known, heads))
 
     roots = storage.materialize(components(links), "roots")
     members = shared.select("shingle", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
@@ -229,12 +309,11 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
     meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
     rest = x.join(y, meets & _passes("x", "y", how.percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = verified(_suffix_filter(rest, classes, how.percent), rows, how)
+    more = verified(_suffix_filter(rest, classes, how.percent), rows, how).select("a", "b")
     roots = storage.materialize(components(links.union(more)), "roots")
 
-    named = heads.join(roots, F.col("id") == F.col("node"), "left").select(*keys, F.coalesce("root", "id").alias("root"))
-    placed = known.select("own_id", *keys).alias("k").join(named.alias("h"), same, "left")
-    # Rows that share an id may be of several classes; the id's least root holds for all.
+    named = heads.join(roots, F.col("id") == F.col("node"), "left").select(*CLASS, F.coalesce("root", "id").alias("root"))
+    placed = known.select("own_id", *CLASS).alias("k").join(named.alias("h"), _same_class(), "left")
     out = placed.select("k.own_id", "k.n_shingles", F.when(F.col("k.own_id").isNotNull(), F.coalesce("h.root", "k.own_id")).alias("component_id"))
     return out.withColumnRenamed("own_id", id_col)
 

@@ -1,23 +1,35 @@
-"""Array kernels over Arrow text columns: words, hashes and anchors.
-
-All work on whole batches without a Python object per word.  Hashes are
-polynomials modulo 2**64 over scrambled symbols, read off prefix sums, then
-scrambled again.
+"""Array kernels over Arrow text columns: words, digests and anchors.
+
+All work on parts of a batch of bounded size (``slices``), a text longer than
+that by itself.  Three kinds of names are used, each for one purpose:
+
+* ``word_hashes`` and ``shingle_hashes`` chain eight bytes, or one word, at a
+  time through a 64-bit mixing step that is not linear.  Words longer than
+  ``LONG_WORD`` bytes are named by BLAKE2b.
+* ``digests`` are 128 bits of BLAKE2b over the bytes themselves, for what is
+  removed because it is equal to something else.
+* Anchors (``anchors``) are picked and grouped by polynomial hashes; what shares
+  one is still compared by digest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd factors of the polynomials, and their inverses modulo 2**64.
+#: Odd factor of the anchors' polynomial, and its inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Start of the chains.
+SEED = U64(0x2545F4914F6CDD1D)
+#: Bytes of text that a task works on at a time.
+SLICE_BYTES = 512 << 10
+#: Words above this many bytes are named by BLAKE2b.
+LONG_WORD = 64
 
 #: The white space between words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, dtype=bool)
@@ -27,6 +39,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+
 
 def scramble(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
@@ -42,34 +57,6 @@ def scramble(x: np.ndarray) -> np.ndarray:
 BYTE_SYMBOL = scramble(np.arange(1, 257, dtype=U64) * U64(FACTOR))
 
 
-@lru_cache(maxsize=None)
-def _powers_to(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for factor in (FACTOR, _INVERSE):
-        p = np.ones(n, dtype=U64)
-        p[1:] = U64(factor)
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_to(max(16, int(n).bit_length()))
-
-
-def prefix_sums(symbols: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(symbols) + 1)
-    out = np.zeros(len(symbols) + 1, dtype=U64)
-    np.cumsum(symbols * up[: len(symbols)], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the symbols from ``begin`` up to ``end``, for each pair."""
-    _, down = powers(len(sums))
-    return scramble((sums[end] - sums[begin]) * down[begin])
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of a column and where each begins (n + 1
     places).  Null is empty."""
@@ -84,7 +71,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; a longer text
     is a part of its own."""
     if not batch.num_rows:
@@ -114,7 +101,23 @@ def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(BYTE_SYMBOL[raw]), begins, ends)
+    """64-bit names of the byte strings [begin, end)."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(raw) + 1,), strides=(1,))
+    size = ends - begins
+    out = scramble(size.astype(U64) * U64(FACTOR) ^ SEED)
+    at, left, rows = begins, size, slice(None)
+    for _ in range(LONG_WORD // 8):
+        out[rows] = scramble(out[rows] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        rows = more if isinstance(rows, slice) else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    data = memoryview(raw)
+    for k in rows.tolist():
+        out[k] = int.from_bytes(blake2b(data[begins[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,11 +126,38 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     of them before each text (n + 1 places)."""
     counts = np.diff(first)
     own = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    text = np.repeat(np.arange(len(own)), own)
     base = np.concatenate([[0], np.cumsum(own)])
+    text = np.repeat(np.arange(len(own)), own)
     begin = np.arange(base[-1]) - base[text] + first[text]
-    end = np.minimum(begin + size, first[text + 1])
-    return span_hash(prefix_sums(words), begin, end), base
+    held = np.minimum(counts, size)[text]
+    out = scramble(held.astype(U64) * U64(FACTOR) ^ SEED)
+    for k in range(size):
+        some = held > k
+        if some.all():
+            out = scramble(out ^ words[begin + k])
+        else:
+            out[some] = scramble(out[some] ^ words[begin[some] + k])
+    return out, base
+
+
+def digests(data: bytes | memoryview, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of the byte strings [begin, end), two numbers a row."""
+    view = memoryview(data)
+    found = b"".join([blake2b(view[b:e], digest_size=16).digest() for b, e in zip(begins.tolist(), ends.tolist())])
+    return np.frombuffer(found, dtype="<i8").reshape(-1, 2)
+
+
+def spaced(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words one after another with one space after each: bytes, and each
+    word's begin and end there.  Equal runs of words are equal strings."""
+    size = ends - begins
+    after = np.cumsum(size + 1)
+    start = after - size - 1
+    out = np.full(int(after[-1]) if len(after) else 0, 0x20, dtype=np.uint8)
+    shift = np.repeat(start - begins, size)
+    source = np.arange(len(shift)) + np.repeat(begins - (np.cumsum(size) - size), size)
+    out[source + shift] = raw[source]
+    return out.tobytes(), start, start + size
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -140,9 +170,30 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-#: Windows handled at a time, and the low bits of an order that hold a place.
-TILE = 1 << 24
-PLACE_BITS = U64(25)
+#: Windows whose anchors are picked at a time, and the low bits of an order that hold a place.
+TILE = 1 << 16
+PLACE_BITS = U64(18)
+_PLACE = (U64(1) << PLACE_BITS) - U64(1)
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=U64)
+    out[1:] = U64(factor)
+    return np.multiply.accumulate(out)
+
+
+#: Enough for the symbols of one tile with windows of up to TILE symbols.
+_UP, _DOWN = _powers(FACTOR, 2 * TILE + 1), _powers(_INVERSE, 2 * TILE + 1)
+
+
+def _picks(symbols: np.ndarray, window: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of ``symbols`` the place of its anchor, and its hash."""
+    sums = np.zeros(len(symbols) + 1, dtype=U64)
+    np.cumsum(symbols * _UP[: len(symbols)], out=sums[1:])
+    runs = scramble((sums[inner:] - sums[:-inner]) * _DOWN[: len(symbols) - inner + 1])
+    order = (scramble(runs) >> PLACE_BITS << PLACE_BITS) | np.arange(len(runs), dtype=U64)
+    pick = (sliding_least(order, window - inner + 1) & _PLACE).astype(np.int64)
+    return pick, runs[pick]
 
 
 def anchors(symbols: np.ndarray, at: np.ndarray, window: int, inner: int) -> dict[str, np.ndarray]:
@@ -152,30 +203,29 @@ def anchors(symbols: np.ndarray, at: np.ndarray, window: int, inner: int) -> dic
     (the leftmost of equals), which depends on its content alone: equal windows
     pick the same run at the same place.  Neighbouring windows with one pick
     are one row: text (index), start (first window, from the text's begin), n
-    (windows), lead (symbols before the run), name (hash of the run) and body
-    (hash of all symbols that the windows cover and of the run's place).
+    (windows), lead (symbols before the run) and name (hash of the run).
     """
-    none = {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "lead")} | {k: np.zeros(0, U64) for k in ("name", "body")}
-    if len(symbols) < window:
-        return none
-    sums = prefix_sums(symbols)
-    begins = np.arange(len(symbols) - inner + 1)
-    runs = span_hash(sums, begins, begins + inner)
-    picks = []
-    for tile in range(0, len(symbols) - window + 1, TILE):
-        part = runs[tile : tile + TILE + window - inner]
-        order = (scramble(part) >> PLACE_BITS << PLACE_BITS) | np.arange(len(part), dtype=U64)
-        picks.append((sliding_least(order, window - inner + 1) & ((U64(1) << PLACE_BITS) - U64(1))).astype(np.int64) + tile)
+    parts = []
+    last = len(symbols) - window + 1
     counts = np.maximum(np.diff(at) - window + 1, 0)
-    text = np.repeat(np.arange(len(counts)), counts)
-    if not len(text):
-        return none
-    base = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    places = np.arange(len(text)) - base[text] + at[text]
-    pick = np.concatenate(picks)[places]
-    head = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-    size = np.diff(np.concatenate([head, [len(pick)]]))
-    first, chosen = places[head], pick[head]
-    body = span_hash(sums, first, first + size + window - 1)
-    body = scramble(body + (chosen - first).astype(U64) * U64(FACTOR) + size.astype(U64))
-    return {"text": text[head], "start": first - at[text[head]], "n": size, "lead": chosen - first, "name": runs[chosen], "body": body}
+    tile = 0
+    while tile < last:
+        end = min(last, tile + TILE)
+        pick, name = _picks(symbols[tile : end + window - 1], window, inner)
+        low, high = np.searchsorted(at, [tile, end - 1], side="right") - 1
+        text = np.repeat(np.arange(low, high + 1), np.diff(np.clip(at[low : high + 2], tile, end)))
+        inside = np.arange(tile, end) - at[text] < counts[text]
+        head = inside.copy()
+        head[1:] &= (pick[1:] != pick[:-1]) | ~inside[:-1] | (text[1:] != text[:-1])
+        heads = np.flatnonzero(head)
+        # The next tile begins with the last row, which may go on there.
+        stop = end - tile
+        if end < last and len(heads) > 1:
+            stop, heads = int(heads[-1]), heads[:-1]
+        if len(heads):
+            size = np.diff(np.append(np.cumsum(inside)[heads], inside[:stop].sum() + 1))
+            parts.append({"text": text[heads], "start": heads + tile - at[text[heads]], "n": size, "lead": pick[heads] - heads, "name": name[heads]})
+        tile += stop
+    if not parts:
+        return {k: np.zeros(0, np.int64) for k in ("text", "start", "n", "lead")} | {"name": np.zeros(0, U64)}
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}

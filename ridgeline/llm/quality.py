@@ -24,12 +24,21 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Phrases of boilerplate and navigation lines, in lower case.
+#: Phrases of boilerplate and navigation lines in the languages of
+#: the corpus (en, de, fr, es), ASCII letters in lower case.
 BOILERPLATE = (
     "all rights reserved", "copyright (c)", "licensed under the", "released under the", "terms of service",
     "terms of use", "privacy policy", "cookie policy", "accept cookies", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies",
+    "todos los derechos reservados", "condiciones de uso", "política de privacidad", "aceptar cookies",
+)
+NAVIGATION = (
+    "back to top", "skip to content", "next page", "previous page", "read more", "sign in", "log in", "main menu",
+    "zum seitenanfang", "zum inhalt springen", "mehr lesen", "weiterlesen", "nächste seite", "vorherige seite",
+    "haut de page", "aller au contenu", "lire la suite", "page suivante", "se connecter",
+    "volver arriba", "saltar al contenido", "leer más", "página siguiente", "iniciar sesión",
 )
-NAVIGATION = ("back to top", "skip to content", "next page", "previous page", "read more", "sign in", "log in", "main menu")
 
 
 @dataclass(frozen=True)
@@ -65,16 +74,27 @@ def _sums(mask: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
 
 
-def _again(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key: how often it occurs, and whether it did before."""
-    _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-    return counts[inverse], first[inverse] != np.arange(len(keys))
+def _named(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number for each string between neighbouring places; equal strings, and
+    only they, have equal numbers."""
+    strings = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A number below the rows' count for each pair (x, y)."""
+    return np.unique(x * (y.max(initial=0) + 1) + y, return_inverse=True)[1]
 
 
 def document_stats(column: pa.Array, rules: LineRules, keep_text: bool) -> dict[str, np.ndarray | list]:
     """Base statistics and line verdicts of all texts of a column."""
-    raw, at = K.text_bytes(column)
+    plain, begin = K.text_bytes(column)
     n = len(column)
+    # Every text, and so its last line, ends in a line break of its own: no
+    # word, line or phrase reaches into the next text.
+    at = begin + np.arange(n + 1)
+    raw = np.full(at[-1], 0x0A, dtype=np.uint8)
+    raw[np.arange(len(plain)) + np.repeat(np.arange(n), np.diff(begin))] = plain
     begins, ends, first = K.word_bounds(raw, at)
     words = np.diff(first)
     out: dict[str, np.ndarray | list] = {"n_words": words}
@@ -86,28 +106,25 @@ def document_stats(column: pa.Array, rules: LineRules, keep_text: bool) -> dict[
 
     # Words in 3-word windows that are found again in the same text.
     doc_of_word = np.repeat(np.arange(n), words)
-    hashes = K.word_hashes(raw, begins, ends)
-    windows = np.flatnonzero(doc_of_word[2:] == doc_of_word[:-2]) if len(hashes) > 2 else np.zeros(0, np.int64)
-    keys = K.span_hash(K.prefix_sums(hashes), windows, windows + 3)
-    counts, _ = _again(K.scramble(keys + doc_of_word[windows].astype(K.U64) * K.U64(K.FACTOR)))
-    hit = windows[counts > 1]
-    covered = np.zeros(len(hashes), dtype=bool)
+    ids = _named(raw[~K.SPACE[raw]], np.concatenate([[0], np.cumsum(ends - begins)]))
+    windows = np.flatnonzero(doc_of_word[2:] == doc_of_word[:-2]) if len(ids) > 2 else np.zeros(0, np.int64)
+    keys = _both(_both(_both(ids[windows], ids[windows + 1]), ids[windows + 2]), doc_of_word[windows])
+    hit = windows[np.bincount(keys)[keys] > 1]
+    covered = np.zeros(len(ids), dtype=bool)
     for k in range(3):
         covered[hit + k] = True
     repeat = _sums(covered)
     out["n_repeat_words"] = repeat[first[1:]] - repeat[first[:-1]]
 
-    # Lines: from a text's begin or after \n up to the next \n or the text's end.
-    breaks = np.flatnonzero(raw == 0x0A)
-    line_begin = np.sort(np.concatenate([at[:-1], breaks + 1]), kind="stable")
-    line_end = np.sort(np.concatenate([at[1:], breaks]), kind="stable")
-    doc_of_line = np.sort(np.concatenate([np.arange(n), np.searchsorted(at, breaks, side="right") - 1]), kind="stable")
+    line_end = np.flatnonzero(raw == 0x0A)
+    line_begin = np.concatenate([[0], line_end + 1])[:-1]
+    doc_of_line = np.searchsorted(at, line_begin, side="right") - 1
     low, high = np.searchsorted(begins, line_begin), np.searchsorted(begins, line_end)
     line_words = high - low
     held = line_words > 0
-    line_keys = K.span_hash(K.prefix_sums(K.BYTE_SYMBOL[raw]), line_begin, line_end)
     solid = np.flatnonzero(held)
-    _, before = _again(K.scramble(line_keys[solid] + doc_of_line[solid].astype(K.U64) * K.U64(K.FACTOR)))
+    lines = _both(_named(raw, np.append(line_begin, len(raw)))[solid], doc_of_line[solid])
+    before = np.unique(lines, return_index=True)[1][lines] != np.arange(len(lines))
     out["n_dup_lines"] = np.bincount(doc_of_line[solid[before]], minlength=n)
 
     noise = _sums(_lut(SYMBOLS + "!")[raw])
@@ -137,8 +154,10 @@ def clean_lines(docs: DataFrame, rules: LineRules = RULES, *, id_col: str = "doc
     Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, lost_words, base_failed, kept and, with ``keep_text``,
     kept_text (the lines that passed).  Null and empty texts have no words and
-    so fail the base.  Repeated rows each return a row; an empty table none.
-    Other columns are ignored.  No shuffle; memory holds some MB of text, or
+    so fail the base.  Repeated rows each return a row; rows with a null id
+    keep it; an empty table returns none.  A text that meets a bound exactly is
+    kept.  Words and lines are compared by their bytes, within a text alone.
+    Other columns are ignored.  No shuffle; memory holds half a MB of text, or
     one text where that is longer.
     """
     names = [f.split()[0] for f in STATS.split(", ")]
@@ -159,7 +178,7 @@ def clean_lines(docs: DataFrame, rules: LineRules = RULES, *, id_col: str = "doc
 
 
 WORD = r"[^\x20\x09-\x0D]+"
-_PHRASES = "|".join(re.escape(p).replace(r"\ ", " ") for p in BOILERPLATE + NAVIGATION)
+_PHRASES = "|".join(re.escape(p).replace(r"\ ", " ").replace("'", "''") for p in BOILERPLATE + NAVIGATION)
 
 #: The same in DuckDB SQL.
 SQL = rf"""
@@ -178,7 +197,7 @@ lines AS (
 judged AS (
   SELECT *, (marks >= {RULES.noise_marks} AND 2 * marks >= lw)
     OR (lw < {RULES.short_words} AND NOT regexp_matches(line, '[.!?:;"'')\]][\x20\x09-\x0D]*$'))
-    OR (lw <= {RULES.phrase_words} AND regexp_matches(line, '(?i)({_PHRASES})')) AS fails,
+    OR (lw <= {RULES.phrase_words} AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}')) AS fails,
     row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup
   FROM lines WHERE lw > 0),
 l AS (

@@ -1,15 +1,16 @@
 """Removal of repeated word windows with a log-structured fingerprint index.
 
-The index is a list of immutable runs, tables bucketed and sorted by anchor.
-Each batch of documents becomes a run; it is merge-joined with the runs before
-it, and where anchors agree but their surroundings differ, the windows
-themselves are compared by 128-bit hashes of their words.  Runs are compacted
-into one when there are too many.
+The index is a list of immutable runs, tables bucketed and sorted by anchor, and
+the texts that they were made of.  Each batch of documents becomes a run; it is
+merge-joined with the runs before it.  Where anchors agree but their
+surroundings differ, the windows themselves are verified by 128-bit digests of
+their words.  Runs of like size are compacted into one when there are too many.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,56 +27,98 @@ from .batches import map_batches
 from .repeats import Windows
 
 WORDS = Windows("words", 50, 16)
+RUN = "name long, body long, c long, own_id long, own_key long, start long, n int, lead int"
+TEXT = "own_id long, own_key long, own_text string"
 
 
 @dataclass
 class FingerprintIndex:
-    """Runs of (name, body, c, own_id, own_key, start, n, lead) in the warehouse.
-
-    ``texts``: tables of the indexed (own_id, own_key, own_text).  Windows of
-    differing bodies are compared on them, whichever call indexed the document.
+    """A folder ``root`` in a shared store, by default a new one: ``runs`` of
+    (name, body, c, own_id, own_key, start, n, lead), each a table of this
+    session over a folder of its own, and ``texts``, tables of the indexed
+    (own_id, own_key, own_text).
+
+    An index is opened again by its ``root``, in any session; what a call that
+    failed wrote half is not read.  One call writes at a time.  ``fanout``: runs
+    of like size from which on they are merged, so that a row is rewritten a
+    logarithmic number of times.
     """
 
     spark: SparkSession
-    buckets: int
-    fanout: int = 2
-    runs: list[str] = field(default_factory=list)
+    root: str = ""
+    buckets: int = 0
+    fanout: int = 4
+    runs: dict[str, int] = field(default_factory=dict)
     texts: list[str] = field(default_factory=list)
 
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.root = self.root or storage.new_path(self.spark, "index")
+        for folder in storage.folders(self.spark, self.root):
+            kind, buckets, token = folder.split("-")
+            name = f"ridgeline_{kind}_{token}"
+            clause = f"CLUSTERED BY (name) SORTED BY (name, body) INTO {buckets} BUCKETS" if kind == "run" else ""
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({RUN if kind == 'run' else TEXT}) USING parquet {clause} LOCATION '{self.root}/{folder}'")
+            if kind == "run":
+                self.runs[name] = self.spark.table(name).count()
+            else:
+                self.texts.append(name)
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        token = uuid.uuid4().hex
+        name, writer = f"ridgeline_{kind}_{token}", rows.write.option("path", f"{self.root}/{kind}-{self.buckets}-{token}")
+        if kind == "run":
+            writer = writer.bucketBy(self.buckets, "name").sortBy("name", "body")
+        writer.saveAsTable(name)
+        return name
+
     def keep(self, rows: DataFrame) -> DataFrame:
         """Write the texts of ``rows``; all texts that the index holds."""
-        if self.runs and not self.texts:
-            raise ValueError("the index has runs but not the texts that they were made of")
-        name = f"ridgeline_texts_{uuid.uuid4().hex}"
-        rows.filter("own_id IS NOT NULL").write.saveAsTable(name)
-        self.texts.append(name)
+        self.texts.append(self._write(rows.filter("own_id IS NOT NULL"), "texts"))
         return reduce(DataFrame.unionByName, map(self.spark.table, self.texts))
 
     def append(self, bodies: DataFrame) -> str:
-        """Write one more run; ``bodies`` may hold a body more than once."""
-        name = f"ridgeline_run_{uuid.uuid4().hex}"
-        merged = repeats.merge_bodies(bodies.repartition(self.buckets, "name"))
-        merged.write.bucketBy(self.buckets, "name").sortBy("name", "body").saveAsTable(name)
-        self.runs.append(name)
+        """Write one more run; ``bodies``: one row each, as ``repeats.merge_bodies`` has them."""
+        name = self._write(bodies.repartition(self.buckets, "name"), "run")
+        self.runs[name] = self.spark.table(name).count()
         return name
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(r) for r in self.runs]
 
+    def _forget(self, name: str) -> None:
+        """Drop a table and its folder."""
+        kind, token = name.removeprefix("ridgeline_").split("_")
+        for folder in storage.folders(self.spark, self.root):
+            if folder.startswith(kind) and folder.endswith(token):
+                storage.delete(self.spark, f"{self.root}/{folder}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def compact(self) -> None:
-        """Merge all runs into one if there are more than ``fanout``."""
-        if len(self.runs) > self.fanout:
-            old, self.runs = self.runs, []
-            self.append(reduce(DataFrame.unionByName, map(self.spark.table, old)))
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+        """Merge the runs of a size class where there are ``fanout`` or more."""
+        classes: dict[int, list[str]] = {}
+        for name, rows in self.runs.items():
+            classes.setdefault(int(math.log(max(rows, 1), self.fanout)), []).append(name)
+        for old in classes.values():
+            if len(old) >= self.fanout:
+                self.append(repeats.merge_bodies(reduce(DataFrame.unionByName, map(self.spark.table, old)), "c"))
+                for name in old:
+                    del self.runs[name]
+                    self._forget(name)
+
+    def drop(self) -> None:
+        """Delete all that the index wrote."""
+        for name in [*self.runs, *self.texts]:
+            self._forget(name)
+        self.runs, self.texts = {}, []
 
 
 def _batch_hits(index: FingerprintIndex, batch: DataFrame, seen: DataFrame, how: Windows) -> DataFrame:
-    """(own_id, own_key, start, n, windows): places of ``batch`` that repeat an
-    earlier document's words; ``windows`` null stands for all n of them."""
+    """(own_id, own_key, runs): places of ``batch`` that repeat an earlier
+    document's words."""
     earlier = index.tables()
-    new = index.spark.table(index.append(repeats.distinct_bodies(batch, how)))
+    places = repeats.occurrences(batch, how)
+    new = index.spark.table(index.append(repeats.merge_bodies(places)))
     names = new.select("name").distinct()
     alike = [run.join(names, "name", "left_semi") for run in earlier]
     known = reduce(DataFrame.unionByName, [new.withColumn("is_new", F.lit(1))] + [a.withColumn("is_new", F.lit(0)) for a in alike])
@@ -97,42 +140,35 @@ def _batch_hits(index: FingerprintIndex, batch: DataFrame, seen: DataFrame, how:
     verdicts = bodies.filter("is_new = 1").select("name", "body", "mixed", F.col("own_id").alias("body_first")).join(judged, ["name", "body"], "left")
     verdicts = storage.materialize(verdicts, "verdicts")
 
-    hits = repeats.occurrences(batch, how).join(verdicts, ["name", "body"])
+    hits = places.join(verdicts, ["name", "body"])
     later = F.col("own_id") > F.col("body_first")
-    part = F.transform(F.filter("found", lambda x: x["first_id"] < F.col("own_id")), lambda x: x["place"])
     hits = hits.filter(later | F.col("found").isNotNull())
-    return hits.select("own_id", "own_key", "start", "n", F.when(~later, part).alias("windows")).filter("windows IS NULL OR size(windows) > 0")
+    earliest = F.filter("found", lambda x: x["first_id"] < F.col("own_id"))
+    single = F.flatten(F.transform(earliest, lambda x: F.array(F.col("start") + x["place"], F.col("start") + x["place"] + 1)))
+    runs = F.when(later, F.array(F.col("start"), F.col("start") + F.col("n"))).otherwise(single)
+    return hits.select("own_id", "own_key", runs.alias("runs")).filter("size(runs) > 0")
 
 
 def _kept(rows: DataFrame, how: Windows, keep_text: bool) -> DataFrame:
-    """Words kept and removed of (own_id, own_text, hits)."""
+    """Words kept and removed of (own_id, own_text, runs)."""
     schema = "own_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in K.slices(whole, "own_text"):
-                raw, at = K.text_bytes(part.column("own_text"))
-                begins, ends, first = K.word_bounds(raw, at)
-                data, hits = raw.tobytes(), part.column("hits").to_pylist()
-                n_words, n_removed, digests, texts = [], [], [], []
-                for d in range(part.num_rows):
-                    b, e = begins[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
-                    keep = np.ones(len(b), dtype=bool)
-                    for hit in hits[d] or ():
-                        if hit["windows"] is None:
-                            keep[hit["start"] : hit["start"] + hit["n"] + how.window - 1] = False
-                        else:
-                            for w in hit["windows"]:
-                                keep[hit["start"] + w : hit["start"] + w + how.window] = False
-                    text = b" ".join([data[x:y] for x, y in zip(b[keep].tolist(), e[keep].tolist())])
-                    n_words.append(len(b))
-                    n_removed.append(int(len(b) - keep.sum()))
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    texts.append(text.decode() if keep_text else None)
-                arrays = [part.column("own_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+                found = repeats.content(part.column("own_text"), "words")
+                gone = repeats.covered(part.column("runs"), found.at, how.window)
+                size = (found.ends - found.begins + 1) * ~gone
+                left = memoryview(np.frombuffer(found.data, np.uint8)[np.repeat(~gone, found.ends - found.begins + 1)])
+                ends = np.concatenate([[0], np.cumsum(size)])[found.at].tolist()
+                kept = [left[b : max(b, e - 1)] for b, e in zip(ends, ends[1:])]
+                sums = np.concatenate([[0], np.cumsum(gone)])[found.at]
+                digests = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
+                texts = pa.array([str(x, "utf-8") if keep_text else None for x in kept], pa.string())
+                arrays = [part.column("own_id"), pa.array(np.diff(found.at)), pa.array(np.diff(sums)), digests, texts]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in schema.split(", ")])
 
-    return map_batches(rows.select("own_id", "own_text", "hits"), run, schema)
+    return map_batches(rows, run, schema)
 
 
 def remove_repeats(docs: DataFrame, batches: int = 3, how: Windows = WORDS, *, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None, keep_text: bool = True) -> DataFrame:
@@ -141,31 +177,36 @@ def remove_repeats(docs: DataFrame, batches: int = 3, how: Windows = WORDS, *, i
 
     Documents enter the index in ``batches`` ranges of ids, the smaller ids
     first.  Returns ``id_col``, n_words, n_removed, kept_sha256, kept_text (kept
-    words joined by one space; null without ``keep_text``).  Null and empty texts have no words.  Rows that
-    share an id never repeat each other.  Rows with a null id are kept whole
+    words joined by one space; null without ``keep_text``).  Null and empty
+    texts have no words; texts of any length are read whole.  Rows that share
+    an id never repeat each other, so repeated rows and ties of ids are kept
+    alike.  Rows with a null id, which is smaller than none, are kept whole
     and repeat nothing.  An empty table returns no rows.  Other columns are
     ignored.
 
     With ``index``, documents of earlier calls count too, and those of this
     call are added with their texts.  Results of earlier calls do not change.
+    Without, an index is made for this call and its runs are dropped.
     """
     spark = docs.sparkSession
     rows = repeats.keyed(docs, id_col, text_col)
+    known = rows.filter("own_id IS NOT NULL")
     # Before any run, so that a call that fails leaves no run without its texts.
-    texts = index.keep(rows) if index is not None else None
-    index = index or FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.filter("own_id IS NOT NULL").approxQuantile("own_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    texts = index.keep(known) if index is not None else None
+    held = index or FingerprintIndex(spark)
+    cuts = known.approxQuantile("own_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
     hits = None
     for low, high in zip(edges, edges[1:]):
         below = F.col("own_id") < high if high is not None else F.lit(True)
-        batch = rows.filter(below if low is None else below & (F.col("own_id") >= low))
-        found = storage.materialize(_batch_hits(index, batch, rows.filter(below) if texts is None else texts, how), "hits")
+        batch = known.filter(below if low is None else below & (F.col("own_id") >= low))
+        found = storage.materialize(_batch_hits(held, batch, known.filter(below) if texts is None else texts, how), "hits")
         hits = found if hits is None else hits.unionByName(found)
-        index.compact()
-    by_doc = hits.groupBy("own_id", "own_key").agg(F.collect_list(F.struct("start", "n", "windows")).alias("hits"))
-    joined = rows.join(by_doc, ["own_id", "own_key"], "left")
-    return _kept(joined, how, keep_text).withColumnRenamed("own_id", id_col)
+        if index is not None or high is not None:
+            held.compact()
+    if index is None:
+        held.drop()
+    return _kept(repeats.with_hits(rows, hits), how, keep_text).withColumnRenamed("own_id", id_col)
 
 
 #: The same in DuckDB SQL, with the default parameters.

@@ -17,8 +17,9 @@ induced from them:
    more than the least common prefix between them did.  A string repeats
    where it shares ``window`` bytes with a neighbour.
 
-Groups with more than ``hot_group`` bodies are not sorted in one task.  Their
-strings are counted by 128-bit hashes, in parallel.
+Groups with more than ``hot_group`` bodies would not fit a task.  Their anchors
+are grown to the whole string, so that each string is a group of its own, named
+by its 128-bit digest, which Spark counts in parallel.
 """
 
 from __future__ import annotations
@@ -133,11 +134,9 @@ def sorted_groups(bodies: DataFrame, rows: DataFrame, how: Windows) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in K.slices(whole, "own_text", 500_000):
+            for part in K.slices(whole, "own_text"):
                 raw, at = K.text_bytes(part.column("own_text"))
-                lists = part.column("spots")
-                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                flat = lists.flatten()
+                owner, flat = repeats.spots_of(part)
                 start, n = (flat.field(k).to_numpy() for k in ("start", "n"))
                 begin = (at[owner] + start).tolist()
                 end = (at[owner] + start + n + how.window - 1).tolist()
@@ -203,27 +202,24 @@ def _kept(rows: DataFrame, how: Windows, keep_text: bool) -> DataFrame:
         for whole in batches:
             for part in K.slices(whole, "own_text"):
                 raw, at = K.text_bytes(part.column("own_text"))
-                data, out = raw.tobytes(), []
-                for d, hits in enumerate(part.column("hits").to_pylist()):
-                    begin, end = int(at[d]), int(at[d + 1])
-                    spans = sorted((h["start"] + h["runs"][k], h["start"] + h["runs"][k + 1] - 1 + how.window) for h in hits or () for k in range(0, len(h["runs"]), 2))
-                    kept, done, removed, n_spans = [], 0, 0, 0
-                    for a, b in spans:
-                        if a > done or not n_spans:
-                            kept.append(data[begin + done : begin + a])
-                            n_spans += 1
-                            removed += b - a
-                        else:
-                            removed += max(0, b - done)
-                        done = max(done, b)
-                    kept.append(data[begin + done : end])
-                    text = b"".join(kept)
-                    out.append((end - begin, removed, n_spans, hashlib.sha256(text).hexdigest(), text if keep_text else None))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                arrays = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                gone = repeats.covered(part.column("runs"), at, how.window)
+                sums = np.concatenate([[0], np.cumsum(gone)])
+                removed = sums[at[1:]] - sums[at[:-1]]
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                first = at[:-1][np.diff(at) > 0]
+                begins[first] = gone[first]
+                spans = np.concatenate([[0], np.cumsum(begins)])
+                left = memoryview(raw[~gone])
+                ends = (at - sums[at]).tolist()
+                kept = [left[b:e] for b, e in zip(ends, ends[1:])]
+                arrays = [
+                    pa.array(np.diff(at)), pa.array(removed), pa.array(spans[at[1:]] - spans[at[:-1]]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array([bytes(x) if keep_text else None for x in kept], pa.binary()),
+                ]
                 yield pa.RecordBatch.from_arrays([part.column("own_id"), *arrays], names=[f.split()[0] for f in schema.split(", ")])
 
-    return map_batches(rows.select("own_id", "own_text", "hits"), run, schema)
+    return map_batches(rows, run, schema)
 
 
 def remove_repeated_bytes(docs: DataFrame, how: Windows = BYTES, hot_group: int = HOT_GROUP, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -232,26 +228,31 @@ def remove_repeated_bytes(docs: DataFrame, how: Windows = BYTES, hot_group: int
 
     Returns ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256 and kept_bytes (null without ``keep_text``; bytes, as a cut may
-    fall inside a character).  Null and empty texts have no bytes.  Repeated
-    rows repeat each other.  Rows with a null id are kept whole and repeat
-    nothing.  An empty table returns no rows.  Other columns are ignored.
+    fall inside a character).  Null and empty texts have no bytes; texts of any
+    length are read whole.  All places of a repeated string count alike, so
+    there are no ties.  Repeated rows, and rows that share an id, repeat each
+    other.  Rows with a null id take part like any other.  An empty table
+    returns no rows.  Other columns are ignored.
     """
     rows = repeats.keyed(docs, id_col, text_col)
-    bodies = repeats.merge_bodies(repeats.distinct_bodies(rows, how).repartition("name"))
-    sizes = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).filter("all > 1").select("name", "k")
-    bodies = storage.materialize(bodies.join(sizes, "name"), "repeated-bodies")
-    mixed = bodies.filter("k > 1")
-    verdicts = sorted_groups(mixed.filter(F.col("k") <= hot_group), rows, how)
-    hot = mixed.filter(F.col("k") > hot_group)
-    if not hot.isEmpty():
-        verdicts = verdicts.unionByName(counted_groups(hot, rows, how))
-    verdicts = storage.materialize(verdicts, "verdicts")
-    single = bodies.filter("c = 1 AND k > 1").select("name", "body").join(verdicts, ["name", "body"])
-    whole = bodies.filter("c > 1").select("name", "body", F.array(F.lit(0), "n").alias("runs"))
-    hits = repeats.occurrences(rows, how).join(storage.materialize(single.unionByName(whole), "hit-bodies"), ["name", "body"])
-    by_doc = hits.groupBy("own_id", "own_key").agg(F.collect_list(F.struct("start", "runs")).alias("hits"))
-    joined = rows.join(by_doc, ["own_id", "own_key"], "left")
-    return _kept(joined, how, keep_text).withColumnRenamed("own_id", id_col)
+    places = repeats.occurrences(rows, how)
+    again = places.groupBy("name").agg(F.count(F.lit(1)).alias("all"), F.min("body").alias("low"), F.max("body").alias("high")).filter("all > 1")
+    again = again.select("name", (F.col("low") != F.col("high")).alias("mixed"))
+    places = storage.materialize(places.join(again, "name"), "repeated-places")
+    bodies = storage.materialize(repeats.merge_bodies(places.filter("mixed")), "mixed-bodies")
+    sizes = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
+    hot_names = storage.materialize(sizes.filter(F.col("k") > hot_group).select("name"), "hot-names")
+    hot = not hot_names.isEmpty()
+    verdicts = sorted_groups(bodies.join(hot_names, "name", "left_anti") if hot else bodies, rows, how)
+    if hot:
+        verdicts = verdicts.unionByName(counted_groups(bodies.join(hot_names, "name", "left_semi"), rows, how))
+    # A body that is found twice repeats as a whole, whatever its strings do elsewhere.
+    once = storage.materialize(verdicts, "verdicts").join(bodies.filter("c = 1").select("name", "body"), ["name", "body"])
+    whole = places.filter("NOT mixed").select("own_id", "own_key", "start", F.array(F.lit(0), "n").alias("runs"))
+    twice = bodies.filter("c > 1").select("name", "body", F.array(F.lit(0), "n").alias("runs"))
+    part = places.filter("mixed").join(once.unionByName(twice), ["name", "body"]).select("own_id", "own_key", "start", "runs")
+    hits = whole.unionByName(part).select("own_id", "own_key", F.transform("runs", lambda x: x + F.col("start")).alias("runs"))
+    return _kept(repeats.with_hits(rows, hits), how, keep_text).withColumnRenamed("own_id", id_col)
 
 
 #: The same in DuckDB SQL, with the default parameters, on hexadecimal text.
