@@ -2,13 +2,16 @@
 
 1. Voters: a fixed lexicon, and word patterns (whole words and word beginnings)
    that labelled training rows show in toxic texts.  A voter fires or abstains.
-2. Label model: a generative model of the votes.  Voters that fire together
-   beyond chance within a class are correlated and share one factor, whose
-   states are bands of its number of votes; expectation maximisation estimates
-   the class rate and each factor's rates, and so the voters' accuracies.  No
-   voter is worse than chance: more votes never lower the odds.
+2. Label model: a generative model of the votes of all documents that may be
+   learnt from.  Voters that nearly always fire together within a class are
+   correlated and share one factor, whose states are bands of its number of
+   votes; expectation maximisation, each round one aggregate over the distinct
+   votes, estimates the class rate and each factor's rates, and so the voters'
+   accuracies.  Known labels stand for the class of their rows while rates are
+   estimated, and nowhere else.  No voter is worse than chance: more votes never
+   lower the odds.
 3. Classifier: logistic regression on word patterns, trained on the label
-   model's posterior labels, then applied to every text.
+   model's posterior, which the votes alone decide, then applied to every text.
 
 Patterns are hashed to ``2**BITS`` buckets, so tables and broadcasts have a
 fixed size.  Only the text is an input of a score.
@@ -33,10 +36,13 @@ BITS = 20
 #: Bytes of a word's beginning that are patterns, besides the whole word.
 PREFIXES = (4, 5, 6)
 
-#: Words that count as insults in any data.
+#: Words that count as insults in any data (en, de, fr, es).
 LEXICON = (
     "idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "clown",
     "dumbass", "imbecile", "filth", "vermin", "lowlife", "crap", "bastard", "asshole", "bitch", "bullshit",
+    "arschloch", "dummkopf", "trottel", "abschaum", "drecksau", "wichser", "hurensohn", "schlampe", "missgeburt", "vollidiot",
+    "connard", "salaud", "salope", "abruti", "crétin", "ordure", "enfoiré", "débile", "raclure", "minable",
+    "gilipollas", "cabrón", "imbécil", "estúpido", "escoria", "basura", "mierda", "bastardo", "asqueroso", "inútil",
 )
 
 #: Votes at which a factor's next state begins.
@@ -47,27 +53,30 @@ _LETTER[ord("a") : ord("z") + 1] = True
 _LETTER[0x80:] = True
 
 
+#: Tasks that the distinct votes are dealt over in a round, each giving one row of sums.
+EM_TASKS = 64
+
+
 @dataclass(frozen=True)
 class Training:
     """Bounds of what is fitted on.
 
-    ``rows``: documents in the sample, those of least hash of their id among
-    those that may be learnt from.  ``voters`` and ``features``: patterns kept.
-    ``least``: documents a pattern must be in.  ``linked``: correlation within
-    the toxic class from which voters share a factor.  ``least_g``: least
-    likelihood ratio of a pattern.  ``label_odds``: log-odds that a training
-    label adds to the votes of its own row while the model is estimated.
+    ``rows``: documents that voters are found in and the classifier is fitted
+    on, labelled ones first, then those of least hash of their id; labels of
+    others are not used.  ``voters`` and ``features``: patterns kept.
+    ``least``: documents a pattern must be in.  ``least_g``: least likelihood
+    ratio of a pattern.  ``linked``: correlation within a class from which
+    voters share a factor.
     """
 
     rows: int = 40_000
     voters: int = 256
-    features: int = 1024
+    features: int = 512
     least: int = 6
-    linked: float = 0.4
+    linked: float = 0.7
     least_g: float = 24.0
-    label_odds: float = 6.0
-    em_rounds: int = 25
-    steps: int = 400
+    em_rounds: int = 12
+    steps: int = 100
     l2: float = 1e-4
 
 
@@ -83,12 +92,11 @@ def patterns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins = np.flatnonzero(solid & (~before | cut[:-1]))
     ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
     text = np.searchsorted(at, begins, side="right") - 1
-    sums = K.prefix_sums(K.BYTE_SYMBOL[raw])
-    texts, buckets = [text], [K.scramble(K.span_hash(sums, begins, ends) + K.U64(1))]
+    texts, buckets = [text], [K.scramble(K.word_hashes(raw, begins, ends) + K.U64(1))]
     for size in PREFIXES:
         long = ends - begins >= size
         texts.append(text[long])
-        buckets.append(K.scramble(K.span_hash(sums, begins[long], begins[long] + size) + K.U64(size)))
+        buckets.append(K.scramble(K.word_hashes(raw, begins[long], begins[long] + size) + K.U64(size)))
     return np.concatenate(texts), (np.concatenate(buckets) >> K.U64(64 - BITS)).astype(np.int64)
 
 
@@ -102,22 +110,22 @@ def _present(text: np.ndarray, item: np.ndarray, items: int) -> tuple[np.ndarray
     return both // items, both % items
 
 
-def bucket_rates(sample: DataFrame, weight: str) -> DataFrame:
-    """(bucket, toxic, clean): summed weights of the texts each bucket is in."""
+def bucket_rates(rows: DataFrame, weigh: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(bucket, toxic, clean): summed weights of the texts each bucket is in.
+    ``weigh``: a part and the (text, bucket) pairs in it to a weight per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
         for whole in batches:
             for part in K.slices(whole, "text"):
                 text, bucket = _present(*patterns(part.column("text")), 1 << BITS)
-                w = part.column("w").to_numpy()[text]
+                w = weigh(part, text, bucket)[text]
                 toxic += np.bincount(bucket, weights=w, minlength=1 << BITS)
                 clean += np.bincount(bucket, weights=1 - w, minlength=1 << BITS)
         some = np.flatnonzero(toxic + clean)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(toxic[some]), pa.array(clean[some])], names=["bucket", "toxic", "clean"])
 
-    found = map_batches(sample.select("text", F.col(weight).cast("double").alias("w")), run, "bucket long, toxic double, clean double")
-    return found.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return map_batches(rows, run, "bucket long, toxic double, clean double").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _strongest(rates: DataFrame, toxic: float, clean: float, most: int, how: Training, both_sides: bool) -> list[int]:
@@ -160,66 +168,94 @@ def presence(rows: DataFrame, buckets: list[int], keep: list[str]) -> DataFrame:
     return map_batches(rows.select(*keep, "text"), run, f"{kinds}, hits array<int>")
 
 
-def _pairs(hits: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(row, item) of a column of lists, without a Python object for each."""
-    column = hits.combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column), dtype=np.int32), sizes), column.flatten().to_numpy()
-
-
-def _matrix(hits: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(hits), width), dtype=np.uint8)
-    out[_pairs(hits)] = 1
-    return out
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy()
+
+
+def correlated(rows: np.ndarray, items: np.ndarray, toxic: np.ndarray, width: int, linked: float) -> np.ndarray:
+    """The factor of each of ``width`` voters: those that are correlated, from
+    ``linked`` on, among the toxic or among the clean rows share one.  ``rows``
+    and ``items`` are the votes."""
+    close = np.eye(width, dtype=bool)
+    for side in (toxic, ~toxic):
+        own = side[rows]
+        n, fired = max(1, int(side.sum())), np.bincount(items[own], minlength=width).astype(float)
+        together = np.zeros((width, width))
+        held, voter = rows[own], items[own]
+        order = np.argsort(held, kind="stable")
+        for votes in np.split(voter[order], np.flatnonzero(np.diff(held[order])) + 1):
+            together[np.ix_(votes, votes)] += 1
+        spread = np.sqrt(np.maximum(fired - fired**2 / n, 0))
+        close |= together - np.outer(fired, fired) / n >= linked * np.maximum(np.outer(spread, spread), 1e-9)
+    group = np.arange(width)
+    for _ in range(width):
+        least = np.minimum(group, np.where(close, group[None, :], width).min(axis=1))
+        if (least == group).all():
+            break
+        group = least
+    return np.unique(group, return_inverse=True)[1]
 
 
+@dataclass(frozen=True)
 class LabelModel:
-    """Generative model of votes with factors of correlated voters."""
-
-    def __init__(self, votes: np.ndarray, start: np.ndarray, hints: np.ndarray, how: Training):
-        self.factors = self._correlated(votes[start > 0.5], how.linked)
-        self.states = self._states(votes)
-        self.toxic = start
-        for _ in range(how.em_rounds):
-            self._maximise()
-            self.toxic = self.posterior(self.states, hints)
-
-    @staticmethod
-    def _correlated(votes: np.ndarray, linked: float) -> list[list[int]]:
-        """Voters grouped by correlation within a class."""
-        n, width = votes.shape
-        votes = votes.astype(np.float32)
-        centred = votes - votes.mean(axis=0) if n else votes
-        scale = np.sqrt((centred**2).sum(axis=0))
-        scale[scale == 0] = 1
-        close = (centred / scale).T @ (centred / scale) >= linked
-        group = np.arange(width)
-        for _ in range(width):
-            least = np.where(close, group[None, :], width).min(axis=1)
-            least = np.minimum(group, least)
-            if (least == group).all():
-                break
-            group = least
-        return [np.flatnonzero(group == g).tolist() for g in np.unique(group)]
-
-    def _states(self, votes: np.ndarray) -> np.ndarray:
-        return np.stack([np.digitize(votes[:, f].sum(axis=1), BANDS) for f in self.factors], axis=1) if self.factors else np.zeros((len(votes), 0), np.int64)
-
-    def _maximise(self) -> None:
-        n = len(self.toxic)
-        self.rate = (self.toxic.sum() + 1) / (n + 10)
-        tables = np.empty((2, len(self.factors), len(BANDS) + 1))
-        for y, w in enumerate((1 - self.toxic, self.toxic)):
-            for k in range(len(BANDS) + 1):
-                tables[y, :, k] = ((self.states == k) * w[:, None]).sum(axis=0) + (2.0 if k == 0 else 0.5)
+    """Generative model of votes: each voter's factor, the class rate, and the
+    log-odds of each state of each factor."""
+
+    factors: np.ndarray
+    rate: float
+    odds: np.ndarray
+
+    def states(self, rows: np.ndarray, items: np.ndarray, n: int) -> np.ndarray:
+        width = self.factors.max(initial=-1) + 1
+        votes = np.bincount(rows * width + self.factors[items], minlength=n * width).reshape(n, width) if width else np.zeros((n, 0), np.int64)
+        return np.digitize(votes, BANDS)
+
+    def posterior(self, states: np.ndarray) -> np.ndarray:
+        """Chance of the toxic class by the votes."""
+        votes = self.odds[np.arange(states.shape[1]), states].sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(np.log(self.rate / (1 - self.rate)) + votes, -30, 30)))
+
+
+def fit_label_model(votes: DataFrame, factors: np.ndarray, how: Training) -> LabelModel:
+    """Expectation maximisation over ``votes`` (hits, toxic, n): n documents
+    with these votes and this label, null where none is known.  The first round
+    takes two votes for a toxic text."""
+    width = int(factors.max(initial=-1)) + 1
+    votes = votes.coalesce(EM_TASKS)
+    model = LabelModel(factors, 0.5, np.zeros((width, len(BANDS) + 1)))
+
+    def sums(model: LabelModel, first: bool) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, width, len(BANDS) + 1))
+            mass = np.zeros(2)
+            for part in batches:
+                rows, items = _pairs(part.column("hits"))
+                states = model.states(rows, items, part.num_rows)
+                toxic = np.minimum(np.bincount(rows, minlength=part.num_rows), 2) / 2 if first else model.posterior(states)
+                truth = part.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+                toxic = np.where(np.isnan(truth), toxic, truth)
+                n = part.column("n").to_numpy()
+                for y, w in enumerate((n * (1 - toxic), n * toxic)):
+                    mass[y] += w.sum()
+                    for k in range(len(BANDS) + 1):
+                        total[y, :, k] += ((states == k) * w[:, None]).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([mass, total.ravel()])], pa.list_(pa.float64()))], names=["sums"])
+
+        # One row for each of at most EM_TASKS tasks.
+        found = map_batches(votes, run, "sums array<double>").collect()
+        return np.sum([r["sums"] for r in found], axis=0) if found else np.zeros(2 + 2 * width * (len(BANDS) + 1))
+
+    for k in range(how.em_rounds):
+        found = sums(model, k == 0)
+        clean, toxic = found[:2]
+        tables = found[2:].reshape(2, width, len(BANDS) + 1) + np.where(np.arange(len(BANDS) + 1) == 0, 2.0, 0.5)
         tables /= tables.sum(axis=2, keepdims=True)
-        self.odds = np.maximum.accumulate(np.log(tables[1]) - np.log(tables[0]), axis=1)
-
-    def posterior(self, states: np.ndarray, hints: np.ndarray | float = 0.0) -> np.ndarray:
-        """Chance of the toxic class; ``hints`` are log-odds known besides the votes."""
-        votes = self.odds[np.arange(len(self.factors)), states].sum(axis=1)
-        score = np.log(self.rate / (1 - self.rate)) + votes + hints
-        return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        odds = np.maximum.accumulate(np.log(tables[1]) - np.log(tables[0]), axis=1)
+        model = LabelModel(factors, (toxic + 1) / (clean + toxic + 10), odds)
+    return model
 
 
 def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, how: Training) -> np.ndarray:
@@ -258,71 +294,56 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, ho
     return weights * scale
 
 
-def best_cut(logits: np.ndarray, truth: np.ndarray) -> float:
-    """Logit that splits labelled rows with the fewest errors: the middle of
-    the widest such gap; 0 where only one class is known.  Where no split is
-    better than calling every row clean, it is above all rows."""
-    if not len(truth) or truth.min() == truth.max():
-        return 0.0
-    order = np.argsort(logits, kind="stable")
-    logits, truth = logits[order], truth[order]
-    errors = np.cumsum(truth)[:-1] + (len(truth) - truth.sum()) - np.cumsum(1 - truth)[:-1]
-    gaps = np.diff(logits)
-    errors = np.where(gaps > 0, errors, np.inf)
-    if errors.min() >= truth.sum():
-        return float(logits[-1]) + 1.0
-    best = np.flatnonzero(errors == errors.min())
-    k = best[np.argmax(gaps[best])]
-    return float((logits[k] + logits[k + 1]) / 2)
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, how: Training) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``how.rows`` documents outside the fold
-    that is held out; toxic is null where no label is known."""
-    learnable = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    marks = labels.filter(learnable & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
-    # Labelled rows first, about half of the sample if there are as many.
-    labelled = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.rows // 2)
-    others = docs.filter(learnable).select("doc_id").join(marks, "doc_id", "left_anti").distinct()
-    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.rows // 2).withColumn("toxic", F.lit(None).cast("double"))
-    chosen = storage.materialize(labelled.unionByName(others), "training-ids")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return storage.materialize(rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "training")
+def learnable_rows(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, toxic) of all documents outside the fold that is held out,
+    and of the sample of at most ``how.rows`` of them; toxic is null where no
+    label is known or the row is outside the sample."""
+    free = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    marks = labels.filter(free & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
+    rows = docs.filter(free).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = rows.select("doc_id").distinct().join(marks, "doc_id", "left")
+    chosen = ids.orderBy(F.col("toxic").isNull(), F.xxhash64("doc_id"), "doc_id").limit(how.rows)
+    chosen = F.broadcast(storage.materialize(chosen, "training-ids"))
+    sample = storage.materialize(rows.join(chosen, "doc_id").dropDuplicates(["doc_id"]), "training")
+    return rows.join(chosen, "doc_id", "left"), sample
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> tuple[list[int], np.ndarray]:
     """Buckets and weights of the linear classifier."""
     spark = docs.sparkSession
-    sample = training_sample(docs, labels, how)
+    rows, sample = learnable_rows(docs, labels, how)
     known = sample.filter("toxic IS NOT NULL")
     total = known.agg(F.sum("toxic").alias("t"), F.count("toxic").alias("n")).first()
     toxic = total["t"] or 0.0
-    learnt = _strongest(bucket_rates(known, "toxic"), toxic, total["n"] - toxic, how.voters, how, False) if toxic else []
+    marked = bucket_rates(known.select("text", "toxic"), lambda part, text, bucket: part.column("toxic").to_numpy())
+    learnt = _strongest(marked, toxic, total["n"] - toxic, how.voters, how, False) if toxic else []
     voters = list(dict.fromkeys([*map(word_bucket, LEXICON), *learnt]))
 
-    # A bounded sample: votes and labels of at most how.rows documents.
+    # The votes and labels of the sample, at most how.rows rows, for the correlations.
     cast = presence(sample, voters, ["doc_id", "toxic"]).toArrow().sort_by("doc_id")
-    votes = _matrix(cast["hits"], len(voters))
-    fired = np.minimum(votes.sum(axis=1), 2) / 2
+    at, items = _pairs(cast["hits"])
     truth = cast["toxic"].to_numpy().astype(float)  # nan: no label
-    start = np.where(np.isnan(truth), fired, truth)
-    hints = np.where(np.isnan(truth), 0.0, np.where(truth > 0.5, how.label_odds, -how.label_odds))
-    model = LabelModel(votes, start, hints, how)
-    posterior = spark.createDataFrame(pa.table({"doc_id": cast["doc_id"], "posterior": model.toxic}), "doc_id long, posterior double")
-    del cast, votes
-    judged = sample.join(F.broadcast(posterior), "doc_id")
-
-    mass = float(model.toxic.sum())
-    features = _strongest(bucket_rates(judged, "posterior"), mass, len(model.toxic) - mass, how.features, how, True)
-    features = list(dict.fromkeys([*voters, *features]))
-    seen = presence(judged, features, ["doc_id", "toxic", "posterior"]).toArrow().sort_by("doc_id")
-    rows, cols = _pairs(seen["hits"])
-    weights = fit_linear(rows, cols, seen["posterior"].to_numpy(), len(features), how)
-    logits = np.bincount(rows, weights=weights[cols], minlength=len(seen)) + weights[-1]
-    truth = seen["toxic"].to_numpy().astype(float)
-    marked = ~np.isnan(truth)
-    weights[-1] -= best_cut(logits[marked], truth[marked])
-    return features, weights
+    seems = np.where(np.isnan(truth), np.bincount(at, minlength=len(truth)) >= 2, truth > 0.5).astype(bool)
+    factors = correlated(at, items, seems, len(voters), how.linked)
+    votes = presence(rows, voters, ["toxic"]).groupBy("hits", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    votes = storage.materialize(votes, "votes")
+    model = fit_label_model(votes, factors, how)
+    posterior = model.posterior(model.states(at, items, len(truth)))
+    del cast, at, items
+
+    shared = spark.sparkContext.broadcast((_index(voters), model))
+
+    def by_votes(part: pa.RecordBatch, text: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        table, own = shared.value
+        item = table[bucket].astype(np.int64)
+        return own.posterior(own.states(text[item >= 0], item[item >= 0], part.num_rows))
+
+    rates = storage.materialize(bucket_rates(rows.select("text"), by_votes), "pattern-rates")
+    n = votes.agg(F.sum("n")).first()[0] or 0
+    mass = float(model.rate * n)
+    features = list(dict.fromkeys([*voters, *_strongest(rates, mass, n - mass, how.features, how, True)]))
+    seen = presence(sample, features, ["doc_id"]).toArrow().sort_by("doc_id")
+    return features, fit_linear(*_pairs(seen["hits"]), posterior, len(features), how)
 
 
 def scorer(spark: SparkSession, features: list[int], weights: np.ndarray) -> Callable[[Column], Column]:
@@ -349,9 +370,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) ->
 
     ``labels`` (doc_id, toxic) are learnt from only where crc32 of the id as
     text leaves a remainder other than 0 by 5.  Null and empty texts get the
-    score of a text without patterns.  Rows with a null id are scored; their
-    held_out is null.  Repeated rows each return a row; an empty table none.
-    Without toxic labels the lexicon votes alone.  Other columns are ignored.
+    score of a text without patterns; texts of any length are read whole.  Rows
+    with a null id are scored, not learnt from; their held_out is null.
+    Repeated rows each return a row; an empty table none.  A tie of labels for
+    one id is toxic, of patterns goes to the lower bucket, and a score of 0.5 is
+    predicted toxic.  Without toxic labels the lexicon votes alone.  Other
+    columns are ignored.
     """
     score = scorer(docs.sparkSession, *train(docs, labels, how))
     scored = docs.select("doc_id", score(F.coalesce("text", F.lit(""))).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ridgeline.llm import metric_search, registry, toxicity
-from ridgeline.llm.toxicity import LabelModel, Training, best_cut
+from ridgeline.llm.toxicity import BANDS, Training, correlated, fit_label_model
 from ridgeline.session import table
 
 
@@ -47,24 +47,81 @@ def test_op6_with_few_and_no_candidates(spark):
     assert [r.vec_id for r in metric_search.top_k(zeros, F.col("vec_id") == 20).orderBy("rank").collect()] == list(range(20))
 
 
-def test_label_model_learns_accuracies():
+def simulated(n=4000):
+    """True classes and votes: ten independent voters, a copy of the first, and
+    one that says nothing."""
     rng = np.random.default_rng(1)
-    truth = rng.random(4000) < 0.2
-    votes = np.zeros((4000, 12), np.float32)
+    truth = rng.random(n) < 0.2
+    votes = np.zeros((n, 12), bool)
     for v in range(10):
-        votes[:, v] = rng.random(4000) < np.where(truth, 0.35, 0.02)
-    votes[:, 10] = votes[:, 0]  # a copy must not count twice
-    votes[:, 11] = rng.random(4000) < 0.1  # says nothing
-    start = np.minimum(votes.sum(axis=1), 2) / 2
-    model = LabelModel(votes, start, np.zeros(4000), Training())
-    assert ((model.toxic > 0.5) == truth).mean() > 0.95
-    assert any({0, 10} <= set(f) for f in model.factors)
-
-
-def test_best_cut():
-    assert best_cut(np.array([-3.0, -1.0, 2.0, 4.0]), np.array([0.0, 0, 1, 1])) == 0.5
-    assert best_cut(np.zeros(0), np.zeros(0)) == 0.0
-    assert best_cut(np.zeros(3), np.array([0.0, 1, 0])) > 0
+        votes[:, v] = rng.random(n) < np.where(truth, 0.35, 0.02)
+    votes[:, 10] = votes[:, 0]
+    votes[:, 11] = rng.random(n) < 0.1
+    return truth, votes
+
+
+def by_hand(states, labels, rounds):
+    """Expectation maximisation on a row a document: rate, log-odds, posterior."""
+    n, width = states.shape
+    toxic = np.where(np.isnan(labels), np.minimum(states.sum(axis=1), 2) / 2, labels)
+    for _ in range(rounds):
+        tables = np.array([[[(w * (states[:, f] == k)).sum() + (2.0 if k == 0 else 0.5) for k in range(len(BANDS) + 1)] for f in range(width)] for w in (1 - toxic, toxic)])
+        rate = (toxic.sum() + 1) / (n + 10)
+        tables /= tables.sum(axis=2, keepdims=True)
+        odds = np.maximum.accumulate(np.log(tables[1]) - np.log(tables[0]), axis=1)
+        score = np.log(rate / (1 - rate)) + sum(odds[f, states[:, f]] for f in range(width))
+        posterior = 1 / (1 + np.exp(-score))
+        toxic = np.where(np.isnan(labels), posterior, labels)
+    return rate, odds, posterior
+
+
+def test_label_model_equals_plain_expectation_maximisation(spark):
+    truth, votes = simulated()
+    rows, items = np.nonzero(votes)
+    factors = correlated(rows, items, truth, 12, 0.7)
+    assert factors[0] == factors[10] and len(set(factors)) == 11
+    labels = np.where(np.arange(len(truth)) % 10 == 0, truth, np.nan)
+    single = np.flatnonzero(~np.isin(np.arange(12), [0, 10]))
+    states = np.zeros((len(truth), 11), int)
+    for v in single:
+        states[:, factors[v]] = votes[:, v]
+    states[:, factors[0]] = np.digitize(votes[:, [0, 10]].sum(axis=1), BANDS)
+    # The first round counts votes, the plain version above takes states for them.
+    states_first = votes.sum(axis=1)
+    table = spark.createDataFrame([(np.flatnonzero(v).tolist(), None if np.isnan(m) else float(m)) for v, m in zip(votes, labels)], "hits array<int>, toxic double")
+    table = table.repartition(3).groupBy("hits", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    model = fit_label_model(table, factors, Training(em_rounds=30))
+    assert (np.minimum(states.sum(axis=1), 2) == np.minimum(states_first, 2)).all()
+    rate, odds, posterior = by_hand(states, labels, 30)
+    assert abs(model.rate - rate) < 1e-9 and np.allclose(model.odds, odds, atol=1e-6)
+    got = model.posterior(model.states(rows, items, len(truth)))
+    assert np.allclose(got, posterior, atol=1e-6) and ((got > 0.5) == truth).mean() > 0.95
+    # Accuracies: the odds that a vote of each independent voter was made with.
+    for v in range(1, 10):
+        assert abs(odds[factors[v], 1] - np.log(0.35 / 0.02)) < 0.8
+    assert odds[factors[11], 1] < 0.5
+
+
+def test_correlations_of_either_class_count():
+    toxic = np.arange(400) < 200
+    votes = np.zeros((400, 3), bool)
+    votes[:, 0] = np.arange(400) % 3 == 0
+    votes[toxic, 1] = np.random.default_rng(0).random(200) < 0.3
+    votes[~toxic, 1] = votes[~toxic, 0]  # a copy among the clean rows alone
+    votes[:, 2] = np.random.default_rng(1).random(400) < 0.3
+    factors = correlated(*np.nonzero(votes), toxic, 3, 0.7)
+    assert factors[0] == factors[1] != factors[2]
+
+
+def test_posteriors_are_not_the_labels(spark):
+    """A label moves no posterior of its own row: rows of equal votes have equal ones."""
+    docs, labels = toy(spark)
+    rows, sample = toxicity.learnable_rows(docs, labels.withColumn("toxic", F.when(F.col("doc_id") % 25 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))), Training())
+    assert sample.filter("toxic = 1").count() > 100
+    features, weights = toxicity.train(docs, labels.withColumn("toxic", F.when(F.col("doc_id") % 25 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    score = toxicity.scorer(spark, features, weights)
+    wrong = docs.filter("doc_id % 25 = 0 AND doc_id < 1500").dropDuplicates(["doc_id"]).withColumn("p", score("text")).collect()
+    assert sum(r.p >= 0.5 for r in wrong) > 0.9 * len(wrong)
 
 
 def toy(spark):
