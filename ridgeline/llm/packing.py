@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from . import storage
 from .batches import map_batches
 from .tokenizing import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RULES = "rule_length long, rank_from long, rank_to long, per_bin long, first_bin long, base long"
-TEXTS_PER_CALL = 256
 #: Plans above this many rules are joined by a shuffle, not broadcast.
 BROADCAST_RULES = 200_000
 
@@ -105,8 +105,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer), end_id.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_PER_CALL):
-                part = whole.slice(at, TEXTS_PER_CALL)
+            for part in K.slices(whole, "text"):
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                     ids += tail
@@ -141,9 +140,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset.  Null and empty texts are one token, the end id.  A document longer
-    than ``capacity`` is cut into pieces of that length, the last one shorter.
-    Repeated rows are packed each; rows with a null doc_id keep it; ties in
-    length are placed in the order of doc_id.  An empty table gives no rows.
+    than ``capacity`` is cut into pieces of that length, the last one shorter;
+    no text is too long.  Repeated rows are packed each; rows with a null doc_id
+    keep it; ties in length are placed in the order of doc_id.  An empty table gives no rows.
     Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -1,24 +1,27 @@
 """Token counts with a digest cache.
 
 Content and tokenizer version are each named by a digest.  Counts already in
-the cache table are joined; only distinct texts that are missing are encoded,
-and their counts are appended to the cache.
+the cache are joined; only distinct texts that are missing are encoded, and
+their counts are appended to the cache.  Each call appends a folder of its own,
+read once it is finished, so that writers do not disturb each other; what two
+of them counted both is read once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from . import storage
 from .batches import map_batches
 from .tokenizing import drops_white_space, encoder, tokenizer_digest
 
-CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
-TEXTS_PER_CALL = 256
+CACHE_SCHEMA = "content binary, n_tokens long"
 
 
 def normalised(text: Column, tokenizer: str) -> Column:
@@ -30,27 +33,34 @@ def normalised(text: Column, tokenizer: str) -> Column:
     return text
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table; empty where nothing has been written yet."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """(content, n_tokens) of a tokenizer version, each content once; empty
+    where nothing has been written yet."""
+    found = [f"{path}/{version}/{name}" for name in storage.folders(spark, f"{path}/{version}")]
+    if not found:
         return spark.createDataFrame([], CACHE_SCHEMA)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+    return spark.read.schema(CACHE_SCHEMA).parquet(*found).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def encode_missing(misses: DataFrame, tokenizer: str, version: str) -> DataFrame:
+def merge_cache(spark: SparkSession, path: str, version: str) -> None:
+    """Make one folder of all that the cache has for a version.  For a time
+    when no other call reads it."""
+    old = storage.folders(spark, f"{path}/{version}")
+    if len(old) > 1:
+        read_cache(spark, path, version).write.parquet(f"{path}/{version}/{uuid.uuid4().hex}")
+        for name in old:
+            storage.delete(spark, f"{path}/{version}/{name}")
+
+
+def encode_missing(misses: DataFrame, tokenizer: str) -> DataFrame:
     """Counts of ``misses`` (content, normal), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_PER_CALL):
-                part = whole.slice(at, TEXTS_PER_CALL)
+            for part in K.slices(whole, "normal"):
                 ids = enc.encode(part.column("normal").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("content"), pa.array([version] * part.num_rows, pa.string()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                    names=["content", "tokenizer", "n_tokens"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("content"), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["content", "n_tokens"])
 
     return map_batches(misses.select("content", "normal"), run, CACHE_SCHEMA)
 
@@ -58,10 +68,12 @@ def encode_missing(misses: DataFrame, tokenizer: str, version: str) -> DataFrame
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token count of every row of ``docs``: ``id_col``, n_bytes, n_tokens.
 
-    ``cache_path``: Parquet table in a shared store, made at first use, one
-    writer at a time.  Null and empty texts count 0 tokens; repeated rows each
-    return a row; an empty table returns no rows.  Other columns are ignored.
-    Texts of any length are encoded whole.
+    ``cache_path``: folder in a shared store, made at first use, for any number
+    of tokenizers and writers.  Null and empty texts count 0 tokens; repeated
+    rows and rows that share an id each return a row; rows with a null id keep
+    it; an empty table returns no rows.  Equal texts are encoded once, so ties
+    cannot differ.  Other columns are ignored.  Texts of any length are encoded
+    whole.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
@@ -70,17 +82,19 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: st
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
         normalised(F.col(text_col), tokenizer).alias("normal"),
     ).withColumn("content", F.unhex(F.sha2("normal", 256)))
-    cached = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
     fresh = rows.select("content", "normal")
-    if cached.schema and not cached.isEmpty():
-        fresh = fresh.join(cached.select("content"), "content", "left_anti")
-    misses = fresh.dropDuplicates(["content"])
-    encode_missing(misses, tokenizer, version).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens")
+    if storage.folders(spark, f"{cache_path}/{version}"):
+        fresh = fresh.join(read_cache(spark, cache_path, version), "content", "left_anti")
+    own = f"{cache_path}/{version}/{uuid.uuid4().hex}"
+    encode_missing(fresh.dropDuplicates(["content"]), tokenizer).write.parquet(own)
+    if spark.read.schema(CACHE_SCHEMA).parquet(own).isEmpty():
+        storage.delete(spark, own)
+    counts = read_cache(spark, cache_path, version)
     return rows.select(id_col, "n_bytes", "content").join(counts, "content").select(id_col, "n_bytes", "n_tokens")
 
 
 def token_report(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, cache_path: str | None = None) -> DataFrame:
-    """``count_tokens`` with ``over_limit``: more than ``limit`` tokens."""
-    cache_path = cache_path or storage.new_path(docs.sparkSession, "token-cache")
+    """``count_tokens`` with ``over_limit``: more than ``limit`` tokens.  The
+    cache is by default the shared folder's, which later calls meet again."""
+    cache_path = cache_path or f"{storage.shared_dir(docs.sparkSession)}/ridgeline-token-counts"
     return count_tokens(docs, tokenizer, cache_path).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -6,10 +6,13 @@ import hashlib
 import json
 import os
 import re
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
-#: Words kept per Python worker before the cache starts afresh.
-CACHE_WORDS = 800_000
+#: Words kept per Python worker, about 170 bytes each; beyond that the older half is forgotten.
+CACHE_WORDS = 600_000
+#: Characters of a text that are split into words at a time.
+BLOCK_CHARS = 1 << 20
 #: Words sent to the library in one call.
 WORDS_PER_CALL = 256
 
@@ -17,6 +20,8 @@ WORDS_PER_CALL = 256
 #: of it go to the library whole, so that its own rule decides.
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
 
+_SPACE = re.compile(r"[ \t\n\r\f\v]")
+
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -77,6 +82,9 @@ class WordEncoder:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
             self._ids = self.library.encode
 
+    #: Words that skip the library's own preparation: none, unless ``_letters`` finds some.
+    plain = re.compile(r"(?!)")
+
     def _letters(self) -> None:
         """Letters that the library's own normalizer and pre-tokenizer map one
         by one.  Words of such letters, and marks after them, skip both."""
@@ -129,18 +137,44 @@ class WordEncoder:
                 self.words[word] = ids[4 * begin : 4 * cut]
                 begin = cut
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [self._whole(t) for t in texts]
-        odd = [_OTHER_SPACE.search(t) is not None for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
+    def _know(self, words: Iterable[str]) -> None:
+        """Have the ids of all of ``words`` in the cache."""
         if len(self.words) > CACHE_WORDS:
-            self.words, self.stems = {}, {}
+            self.words, self.stems = (dict(islice(d.items(), len(d) // 2, None)) for d in (self.words, self.stems))
         known = self.words
-        missing = [w for w in set(chain.from_iterable(split)) if w not in known]
-        self._learn(missing)
-        get = known.__getitem__
-        return [self._whole(t) if o else b"".join(map(get, ws)) for t, ws, o in zip(texts, split, odd)]
+        self._learn([w for w in set(words) if w not in known])
+
+    def _joined(self, words: list[str]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, whatever its length: short ones together, a long
+        one a block of words at a time."""
+        whole = [not self.by_word or _OTHER_SPACE.search(t) is not None for t in texts]
+        short = [t.split() if not w and len(t) <= BLOCK_CHARS else [] for t, w in zip(texts, whole)]
+        self._know(chain.from_iterable(short))
+        joined = [self._joined(ws) for ws in short]
+        for k, text in enumerate(texts):
+            if whole[k]:
+                joined[k] = self._whole(text)
+            elif len(text) > BLOCK_CHARS:
+                parts = []
+                for block in _blocks(text):
+                    words = block.split()
+                    self._know(words)
+                    parts.append(self._joined(words))
+                joined[k] = b"".join(parts)
+        return joined
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """Parts of a long text, cut at white space."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, min(len(text), at + BLOCK_CHARS))
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def encoder(name: str) -> WordEncoder:

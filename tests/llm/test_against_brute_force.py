@@ -78,12 +78,36 @@ def test_op2_counts_as_the_library_does(spark, messy, library, tmp_path):
     got = token_counts.token_report(messy, cache_path=f"file://{tmp_path}/cache")
     want = Counter((d, len((t or "").encode()), len(library(t))) for d, t in rows_of(messy))
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()) == want
-    cached = token_counts.read_cache(spark, f"file://{tmp_path}/cache")
-    before = cached.count()
-    assert before == cached.select("content").distinct().count()
-    again = token_counts.token_report(messy, cache_path=f"file://{tmp_path}/cache")
+    path, version = f"file://{tmp_path}/cache", token_counts.tokenizer_digest(TOKENIZER)
+    folders = lambda: token_counts.storage.folders(spark, f"{path}/{version}")
+    normal = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ") for _, t in rows_of(messy)}
+    assert len(folders()) == 1 and token_counts.read_cache(spark, path, version).count() == len(normal)
+    again = token_counts.token_report(messy, cache_path=path)
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in again.collect()) == want
-    assert token_counts.read_cache(spark, f"file://{tmp_path}/cache").count() == before
+    assert len(folders()) == 1  # nothing was encoded
+
+
+def test_op2_default_cache_is_met_again(spark, messy):
+    token_counts.token_report(messy).collect()
+    path = f"{token_counts.storage.shared_dir(spark)}/ridgeline-token-counts/{token_counts.tokenizer_digest(TOKENIZER)}"
+    before = token_counts.storage.folders(spark, path)
+    token_counts.token_report(messy).collect()
+    assert before and token_counts.storage.folders(spark, path) == before
+
+
+def test_op2_two_writers(spark, messy, tmp_path):
+    """Counts that two calls appended, and a folder that a failed call left."""
+    import shutil
+
+    path, version = f"{tmp_path}/cache", token_counts.tokenizer_digest(TOKENIZER)
+    want = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_report(messy, cache_path=f"file://{path}").collect())
+    own = token_counts.storage.folders(spark, f"file://{path}/{version}")[0]
+    shutil.copytree(f"{path}/{version}/{own}", f"{path}/{version}/other")
+    (tmp_path / "cache" / version / "unfinished").mkdir()
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_report(messy, cache_path=f"file://{path}").collect()) == want
+    token_counts.merge_cache(spark, f"file://{path}", version)
+    assert len(token_counts.storage.folders(spark, f"file://{path}/{version}")) == 1
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_report(messy, cache_path=f"file://{path}").collect()) == want
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
