@@ -31,6 +31,11 @@ KINDS = [*BASE, "random"]
 
 #: Tokens and decoys: maximal runs of these characters.
 TOKEN = r"([A-Za-z0-9+/_=-]{16,})"
+#: Parts of a text that no match reaches beyond: each ends after a character that
+#: no pattern has, or after a lone space that is not next to a colon or an equals
+#: sign, if there is one among 4096 characters, else after the next.
+_END = r"(?:[^A-Za-z0-9+/_.=:\"'\x20-]|(?<=[^\x20:=])\x20(?=[^\x20:=]))"
+PART = rf"(?s).{{0,4095}}{_END}|.*?{_END}|.+"
 #: Score bins a unit, the bin over which a token is clearly no secret, and the last bin.
 BINS, CLEAR_BIN, LAST_BIN = 4, 16, 100
 
@@ -44,15 +49,30 @@ class Battery:
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("token", T.StringType())])
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """Array of (start, stop, token) of all matches in code points; token is the
-    group.  The texts between matches give the places."""
+def _parts(text: Column) -> Column:
+    """Array of (text, at) of the parts of a text; at in code points.  All work
+    on matches is within a part, so that it grows with the text and not with
+    the square of its matches."""
+
+    def placed(texts: Column) -> Column:
+        state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("all"))
+        step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["all"], s["at"]).alias("all"))
+        return F.arrays_zip(texts.alias("text"), F.aggregate(texts, state, step, lambda s: s["all"]).alias("at"))
+
+    # One-element arrays name an expression inside another.
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(PART), F.lit(0))), placed)[0]
+
+
+def _matches(text: Column, at: Column, pattern: str, group: int) -> Column:
+    """Array of (start, stop, token) of all matches in a part, in code points
+    from ``at`` on; token is the group.  The texts between matches give the
+    places."""
     regex = F.lit(pattern)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     inner = F.regexp_extract_all(text, regex, F.lit(group))
     gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)), lambda g: F.length(g).cast("long"))
     parts = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda w: F.length(w).cast("long")).alias("size"), inner.alias("token"))
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("found"))
+    state = F.struct(at.alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("found"))
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + x["gap"]
@@ -63,9 +83,9 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(T.ArrayType(SPAN)))
 
 
-def _base_spans(text: Column, rank: int, kind: str) -> Column:
+def _base_spans(text: Column, at: Column, rank: int, kind: str) -> Column:
     pattern, group, least = BASE[kind]
-    hits = F.filter(_matches(text, pattern, group), lambda x: F.length(x["token"]) >= least)
+    hits = F.filter(_matches(text, at, pattern, group), lambda x: F.length(x["token"]) >= least)
     return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), F.lit(kind).alias("kind")))
 
 
@@ -136,39 +156,47 @@ def find_secrets(docs: DataFrame, battery: Battery = Battery(), *, id_col: str =
     exclusive.
 
     Random tokens are added where they overlap no base span.  Null and empty
-    texts have no spans; repeated rows each return a row; an empty table none.
-    Other columns are ignored.
+    texts have no spans; texts of any length are read whole, part by part.  A
+    tie of start goes by kind.  Repeated rows each return a row; rows with a
+    null id keep it; an empty table returns none.  Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("own_id"), text.alias("t"))
-    base = F.concat(*[_base_spans(F.col("t"), rank, kind) for rank, kind in enumerate(BASE)])
-    tokens = F.transform(
-        _matches(F.col("t"), TOKEN, 1),
-        lambda x: F.struct(
-            x["start"].alias("start"), x["stop"].alias("stop"), _length_class(F.length(x["token"])).alias("cls"), _score(x["token"]).alias("bin"),
-            x["token"].rlike("^[A-Za-z]+$").alias("decoy"),
-            (x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & (F.length(x["token"]) >= battery.least_length)).alias("test"),
-        ),
-    )
-    found = rows.select("own_id", F.array_sort(base).alias("base"), F.filter(tokens, lambda x: x["decoy"] | x["test"]).alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("own_id"), _parts(text).alias("parts"))
+
+    def judged(part: Column) -> Column:
+        base = F.concat(*[_base_spans(part["text"], part["at"], rank, kind) for rank, kind in enumerate(BASE)])
+        tokens = F.transform(
+            _matches(part["text"], part["at"], TOKEN, 1),
+            lambda x: F.struct(
+                x["start"].alias("start"), x["stop"].alias("stop"), _length_class(F.length(x["token"])).alias("cls"), _score(x["token"]).alias("bin"),
+                x["token"].rlike("^[A-Za-z]+$").alias("decoy"),
+                (x["token"].rlike("[0-9]") & x["token"].rlike("[A-Za-z]") & (F.length(x["token"]) >= battery.least_length)).alias("test"),
+            ),
+        )
+        return F.struct(F.array_sort(base).alias("base"), F.filter(tokens, lambda x: x["decoy"] | x["test"]).alias("tokens"))
+
+    found = rows.select("own_id", F.filter(F.transform("parts", judged), lambda p: (F.size(p["base"]) > 0) | (F.size(p["tokens"]) > 0)).alias("parts"))
     found = storage.materialize(found, "secret-tokens")
-    counts = found.select(F.explode("tokens").alias("x")).groupBy("x.cls", "x.decoy", "x.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select(F.explode(F.flatten("parts.tokens")).alias("x")).groupBy("x.cls", "x.decoy", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     counts = storage.materialize(counts.coalesce(1), "secret-counts")
     tops = spark.sql(THRESHOLDS.format(counts="{c}", clear=CLEAR_BIN, fdr=battery.fdr), c=counts)
     # At most one row for each of the four length classes.
     top = {r["cls"]: r["top"] for r in tops.collect()}
     limit = F.create_map(*[F.lit(v) for pair in top.items() for v in pair]) if top else F.lit(None).cast("map<int,int>")
 
-    def accepted(x: Column) -> Column:
-        apart = ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"]))
-        return x["test"] & F.coalesce(x["bin"] <= limit[x["cls"]], F.lit(False)) & apart
+    def spans(part: Column) -> Column:
+        def accepted(x: Column) -> Column:
+            apart = ~F.exists(part["base"], lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"]))
+            return x["test"] & F.coalesce(x["bin"] <= limit[x["cls"]], F.lit(False)) & apart
 
-    added = F.transform(
-        F.filter("tokens", accepted),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), x["stop"].alias("stop"), F.lit("random").alias("kind")),
-    )
-    return found.select(F.col("own_id").alias(id_col), F.array_sort(F.concat("base", added)).alias("spans"))
+        added = F.transform(
+            F.filter(part["tokens"], accepted),
+            lambda x: F.struct(x["start"].alias("start"), F.lit(len(BASE)).alias("rank"), x["stop"].alias("stop"), F.lit("random").alias("kind")),
+        )
+        return F.array_sort(F.concat(part["base"], added))
+
+    return found.select(F.col("own_id").alias(id_col), F.flatten(F.transform("parts", spans)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -183,18 +211,33 @@ def secret_report(docs: DataFrame, battery: Battery = Battery()) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with each run of overlapping spans replaced by ``mark``."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+#: Spans in a block, which a part of a text that it does not meet passes over whole.
+BLOCK = 256
 
-    def step(s: Column, x: Column) -> Column:
-        between = F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-        fresh = F.concat(s["out"], between, F.lit(mark))
-        inside = x["start"] < s["at"]
-        return F.struct(F.when(inside, s["out"]).otherwise(fresh).alias("out"), F.greatest(s["at"], x["stop"]).alias("at"))
 
-    rest = F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with each run of overlapping spans replaced by ``mark``, which
+    stands where the run begins.  Done part by part, like the scan; spans in
+    order of start, none inside another of an earlier start that ends later."""
+
+    def clean(part: Column, blocks: Column) -> Column:
+        at, size = part["at"], F.length(part["text"]).cast("long")
+        near = F.filter(blocks, lambda b: (F.element_at(b, 1)["start"] < at + size) & (F.element_at(b, -1)["stop"] > at))
+        own = F.filter(F.flatten(near), lambda x: (x["start"] < at + size) & (x["stop"] > at))
+        state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+        def step(s: Column, x: Column) -> Column:
+            begin = x["start"] - at
+            between = F.substring(part["text"], (s["at"] + 1).cast("int"), (begin - s["at"]).cast("int"))
+            fresh = F.concat(s["out"], between, F.lit(mark))
+            inside = begin < s["at"]
+            return F.struct(F.when(inside, s["out"]).otherwise(fresh).alias("out"), F.greatest(s["at"], F.least(x["stop"] - at, size)).alias("at"))
+
+        return F.aggregate(own, state, step, lambda s: F.concat(s["out"], F.substring(part["text"], (s["at"] + 1).cast("int"), size.cast("int"))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda k: F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)))
+    parts = F.transform(F.array(blocks), lambda named: F.transform(_parts(text), lambda p: clean(p, named)))[0]
+    return F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(text)
 
 
 def _sql_matches(name: str, pattern: str, group: int) -> str:
