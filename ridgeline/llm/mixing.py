@@ -1,14 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Only DataFrame functions are used.  Documents are summed to cells (source,
-language, topic); raking scales the cells' token weights to one target
-marginal after another.  The calibrated weights and a token budget give each
-cell a sampling probability, and each document is taken or not by a hash of its
-id.  Everything after the first sum runs on the cells.
+language, topic).  A cell's calibrated weight is its token share times one
+factor for each of its three values; a round of raking fits the factors of
+sources, then languages, then topics to their target marginals.  Sources may be
+any number: their factors stay in Spark, and one aggregate a round gives the
+sums by language and topic, of which there are few, that the other two factors
+follow from.  The weights and a token budget give each cell a sampling
+probability, and each document is taken or not by a hash of its id.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +23,8 @@ from . import storage
 CELL = ["source", "lang", "topic"]
 #: Cell tables up to this many rows are broadcast; longer ones join by a shuffle.
 BROADCAST_CELLS = 50_000
-#: Rounds between written tables.
-ROUNDS_A_TABLE = 4
+#: Pairs of language and topic; more are an error.
+MOST_PAIRS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,11 +33,15 @@ class Mix:
     """``budget``: share of all tokens to take.  ``power``: where a marginal has
     no given targets, its values' shares are their token shares to this power,
     made to sum to 1; below 1 it lifts small sources.  ``targets``: {column:
-    {value: share}}; values that are not named get 0.  ``rounds``: of raking."""
+    {value: share}}; values that are not named get 0.  ``rounds``: of raking, at
+    most; it ends before when no factor moves by more than 1e-13 of itself.  A
+    marginal that is then off by more than ``tolerance`` is warned of: its
+    targets contradict others or the cells that there are."""
 
     budget: float = 0.8
     power: float = 0.7
-    rounds: int = 12
+    rounds: int = 20
+    tolerance: float = 1e-3
     targets: dict = field(default_factory=dict)
 
 
@@ -46,27 +54,67 @@ def surface_topic(text: Column) -> Column:
     )
 
 
+def _targets(cells: DataFrame, dim: str, mix: Mix) -> DataFrame:
+    """(value, share) of a dimension's values."""
+    given = mix.targets.get(dim)
+    if given is not None:
+        return cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], "value string, share double")
+    sums = cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(mix.power)).alias("p"))
+    return sums.join(F.broadcast(sums.agg(F.greatest(F.sum("p"), F.lit(1e-300)).alias("s")))).select("value", (F.col("p") / F.col("s")).alias("share"))
+
+
+def _moved(factors: dict[str, float], sums: dict[str, float], targets: dict[str, float]) -> dict[str, float]:
+    return {k: f * targets.get(k, 0.0) / sums[k] if sums[k] > 0 else 0.0 for k, f in factors.items()}
+
+
+def _with_factors(cells: DataFrame, lang: dict[str, float], topic: dict[str, float], name: str) -> DataFrame:
+    """``cells`` with the product of its language's and topic's factors."""
+    rows = [(a, x, b, y) for a, x in lang.items() for b, y in topic.items()]
+    table = cells.sparkSession.createDataFrame(rows, f"a string, {name}_lang double, b string, {name}_topic double")
+    joined = cells.join(F.broadcast(table), (F.col("lang") == F.col("a")) & (F.col("topic") == F.col("b"))).drop("a", "b")
+    return joined.withColumn(name, F.col(f"{name}_lang") * F.col(f"{name}_topic")).drop(f"{name}_lang", f"{name}_topic")
+
+
+def _source_factor(name: str) -> Column:
+    """A source's factor under the others' product ``name``.  A source has as
+    many cells as there are pairs of language and topic, at most."""
+    held = F.sum(F.col("own") * F.col(name)).over(Window.partitionBy("source"))
+    return F.when(held > 0, F.col("goal") / held).otherwise(0.0)
+
+
 def raked(cells: DataFrame, mix: Mix) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: shares that sum to
-    about 1 and follow the marginals as of the last round."""
-    total = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    out = cells.join(F.broadcast(total)).withColumn("weight", F.col("tokens") / F.greatest("all", F.lit(1.0)))
+    """``cells`` (source, lang, topic, tokens) with ``all``, all tokens, and
+    ``weight``: shares that sum to about 1 and follow the marginals."""
+    everything = cells.agg(F.sum("tokens")).first()[0] or 0
+    goals = _targets(cells, "source", mix).select(F.col("value").alias("s"), F.col("share").alias("goal"))
+    cells = cells.join(goals, F.col("source") == F.col("s"), "left").drop("s").fillna(0.0, ["goal"])
+    cells = storage.materialize(cells.withColumn("own", F.col("tokens") / F.lit(float(max(everything, 1)))), "goals")
+    pairs = cells.select("lang", "topic").distinct().limit(MOST_PAIRS + 1).collect()
+    if len(pairs) > MOST_PAIRS:
+        raise ValueError(f"over {MOST_PAIRS} pairs of language and topic")
+    lang, topic = ({r[c]: 1.0 for r in pairs} for c in ("lang", "topic"))
+    want_lang, want_topic = ({r["value"]: r["share"] for r in _targets(cells, c, mix).collect()} for c in ("lang", "topic"))
+    before = lang, topic
+    for _ in range(mix.rounds if pairs else 0):
+        # One row for each pair of language and topic.
+        held = _with_factors(cells, lang, topic, "rest").withColumn("w", F.col("own") * _source_factor("rest")).groupBy("lang", "topic").agg(F.sum("w").alias("w")).collect()
+        before = lang, topic
+        lang = _moved(lang, {a: sum(r["w"] * lang[a] * topic[r["topic"]] for r in held if r["lang"] == a) for a in lang}, want_lang)
+        topic = _moved(topic, {b: sum(r["w"] * lang[r["lang"]] * topic[b] for r in held if r["topic"] == b) for b in topic}, want_topic)
+        if all(abs(new[k] - old[k]) <= 1e-13 * abs(new[k]) for new, old in zip((lang, topic), before) for k in new):
+            break
+    if not pairs:
+        return cells.select(*CELL, "tokens", F.lit(0).cast("long").alias("all"), F.lit(0.0).alias("weight"))
+    out = _with_factors(_with_factors(cells, *before, "rest"), lang, topic, "last")
+    out = out.withColumn("weight", F.col("own") * _source_factor("rest") * F.col("last"))
+    out = storage.materialize(out.select(*CELL, "tokens", F.lit(int(everything)).alias("all"), "weight", "goal"), "raked")
     for dim in CELL:
-        given = mix.targets.get(dim)
-        if given is None:
-            share = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
-            share = share.select(dim, F.pow("t", F.lit(mix.power)).alias("p")).join(F.broadcast(share.agg(F.sum(F.pow("t", F.lit(mix.power))).alias("s"))))
-            share = share.select(F.col(dim).alias("value"), (F.col("p") / F.greatest("s", F.lit(1e-300))).alias(f"target_{dim}"))
-        else:
-            share = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], f"value string, target_{dim} double")
-        out = out.join(share, F.col(dim) == F.col("value"), "left").drop("value").fillna(0.0, [f"target_{dim}"])
-    for done in range(mix.rounds):
-        for dim in CELL:
-            held = F.sum("weight").over(Window.partitionBy(dim))
-            out = out.withColumn("weight", F.when(held > 0, F.col("weight") * F.col(f"target_{dim}") / held).otherwise(0.0))
-        if done % ROUNDS_A_TABLE == ROUNDS_A_TABLE - 1:
-            out = storage.materialize(out, "raked")
-    return out.select(*CELL, "tokens", "all", "weight")
+        sums = out.groupBy(dim).agg(F.sum("weight").alias("w"), F.first("goal").alias("goal"))
+        sums = sums if dim == "source" else sums.drop("goal").join(_targets(cells, dim, mix).select(F.col("value").alias(dim), F.col("share").alias("goal")), dim, "left")
+        gap = sums.agg(F.max(F.abs(F.col("w") - F.coalesce("goal", F.lit(0.0))))).first()[0]
+        if everything and gap > mix.tolerance:
+            warnings.warn(f"raking misses the target shares of {dim} by up to {gap:.3g}", stacklevel=2)
+    return out.drop("goal")
 
 
 def probabilities(cells: DataFrame, mix: Mix) -> DataFrame:
@@ -74,18 +122,20 @@ def probabilities(cells: DataFrame, mix: Mix) -> DataFrame:
     tokens, with the factor at which the expected tokens meet the budget.
 
     Cells that the factor would take more than once are taken whole; the others
-    share what is left of the budget.
+    share what is left of the budget, which raises the factor, until no more
+    cells are taken whole.
     """
-    order = Window.orderBy("ratio", *CELL).rowsBetween(Window.unboundedPreceding, -1)
-    able = cells.filter("weight > 0").withColumn("ratio", F.col("tokens") / F.col("weight"))
-    whole = able.withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0))).withColumn("held", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
-    everything = able.agg(F.sum("weight").alias("everything"))
-    factor = (F.col("all") * mix.budget - F.col("before")) / F.greatest(F.col("everything") - F.col("held"), F.lit(1e-12))
-    # The first cell, in order of ratio, that the factor does not take whole.
-    found = whole.join(F.broadcast(everything)).withColumn("factor", factor).filter(F.col("factor") <= F.col("ratio"))
-    found = found.agg(F.min_by("factor", "ratio").alias("factor"))
-    share = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.coalesce(F.col("factor"), F.lit(float("inf"))) * F.col("weight") / F.greatest("tokens", F.lit(1)))).otherwise(0.0)
-    return cells.join(F.broadcast(found)).select(*CELL, "tokens", "weight", F.round(share, 6).alias("probability"))
+    able = cells.filter("weight > 0")
+    budget, factor, taken = mix.budget * ((able.agg(F.max("all")).first()[0]) or 0), 0.0, -1
+    while True:
+        whole = F.col("tokens") < F.lit(factor) * F.col("weight") if taken >= 0 else F.lit(False)
+        row = able.agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(whole, 0.0).otherwise(F.col("weight"))).alias("w")).first()
+        if row["n"] == taken or not row["w"]:
+            factor = factor if row["n"] == taken else float("inf")
+            break
+        taken, factor = row["n"], (budget - row["t"]) / row["w"]
+    share = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.greatest("tokens", F.lit(1)))).otherwise(0.0)
+    return cells.select(*CELL, "tokens", "weight", share.alias("probability"))
 
 
 def unit_hash(column: Column) -> Column:
@@ -93,19 +143,24 @@ def unit_hash(column: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """Every row of ``docs`` with topic, n_tokens (words), weight (its cell's
-    calibrated share), probability and selected, added as one struct ``mix`` so
-    that no column of ``docs`` can clash.
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), *, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """Every row of ``docs`` as two structs, so that no column can clash: ``row``,
+    its own columns, and ``mix``: source, lang, topic, n_tokens, weight (its
+    cell's calibrated share), probability and selected.
 
-    Null and empty texts are notes of 0 words; null sources and languages are
-    the value ''.  Rows of one id are taken together; rows with a null id share
-    one hash.  An empty table returns no rows.
+    ``topic`` and ``tokens``: columns of ``docs`` to use; by default the text's
+    form and its words.  Null sources, languages and topics are the value ''.
+    Documents without tokens (null and empty texts) cost none of the budget:
+    they are selected, unless a given target of theirs is 0.  Texts of any
+    length count whole.  Rows of one id, and so repeated rows, are taken
+    together; rows with a null id share one hash; a hash that ties with the
+    probability is not taken.  An empty table returns no rows.
     """
     text = F.coalesce("text", F.lit(""))
     label = F.struct(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        surface_topic(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"),
+        F.coalesce(surface_topic(text) if topic is None else topic.cast("string"), F.lit("")).alias("topic"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)) if tokens is None else tokens, F.lit(0)).cast("long").alias("n_tokens"),
     )
     rows = docs.select(F.struct("*").alias("row"), label.alias("label"))
     cells = rows.groupBy(*[F.col(f"label.{c}").alias(c) for c in CELL]).agg(F.sum("label.n_tokens").alias("tokens"))
@@ -114,14 +169,20 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     joined = rows.join(rates, [F.col(f"label.{c}") == F.col(f"rate.{c}") for c in CELL])
-    taken = unit_hash(F.col("row.doc_id")) < F.col("rate.probability")
-    fields = [F.col("label.topic").alias("topic"), F.col("label.n_tokens").alias("n_tokens"), F.round("rate.weight", 9).alias("weight"), F.col("rate.probability").alias("probability"), taken.alias("selected")]
-    return joined.select("row.*", F.struct(*fields).alias("mix"))
+    free = F.col("label.n_tokens") == 0
+    for dim, given in mix.targets.items():
+        free = free & F.col(f"label.{dim}").isin([str(k) for k, v in given.items() if v > 0])
+    probability = F.when(free, 1.0).otherwise(F.col("rate.probability"))
+    fields = [F.col(f"label.{c}").alias(c) for c in (*CELL, "n_tokens")]
+    fields += [F.round("rate.weight", 9).alias("weight"), F.round(probability, 6).alias("probability"), (unit_hash(F.col("row.doc_id")) < probability).alias("selected")]
+    return joined.select("row", F.struct(*fields).alias("mix"))
 
 
 def mix_report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """``mix_sources`` as columns doc_id, source and lang (as given), topic,
+    n_tokens, weight, probability, selected."""
     found = mix_sources(docs.select("doc_id", "text", "source", "lang"), mix)
-    return found.select("doc_id", "source", "lang", "mix.*")
+    return found.select("row.doc_id", "row.source", "row.lang", *[f"mix.{c}" for c in ("topic", "n_tokens", "weight", "probability", "selected")])
 
 
 def sql(mix: Mix = Mix()) -> str:
@@ -159,8 +220,8 @@ f AS (
   SELECT arg_min(factor, ratio) AS factor FROM (
     SELECT ratio, ((SELECT sum(tokens) FROM c) * {mix.budget}::DOUBLE - before) / greatest(everything - held, 1e-12) AS factor FROM whole) WHERE factor <= ratio),
 q AS (
-  SELECT s, l, p, weight, round(CASE WHEN weight > 0 THEN least(1.0, coalesce((SELECT factor FROM f), 'inf'::DOUBLE) * weight / greatest(tokens, 1)) ELSE 0 END, 6) AS probability FROM w{step})""")
+  SELECT s, l, p, weight, CASE WHEN weight > 0 THEN least(1.0, coalesce((SELECT factor FROM f), 'inf'::DOUBLE) * weight / greatest(tokens, 1)) ELSE 0 END AS probability FROM w{step})""")
     return "WITH " + ",".join(parts) + """
-SELECT doc_id, source, lang, p AS topic, n_tokens, round(weight, 9) AS weight, probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability AS selected
-FROM k JOIN q USING (s, l, p)"""
+SELECT doc_id, source, lang, p AS topic, n_tokens, round(weight, 9) AS weight, round(taken, 6) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < taken AS selected
+FROM (SELECT *, CASE WHEN n_tokens = 0 THEN 1.0::DOUBLE ELSE probability END AS taken FROM k JOIN q USING (s, l, p))"""

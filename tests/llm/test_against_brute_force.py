@@ -459,6 +459,43 @@ def test_op4_meets_marginals(spark):
     assert one.filter("selected OR weight > 0").isEmpty()
 
 
+def test_op4_odd_columns_and_empty_texts(spark, messy):
+    """Columns named like the operator's own, and documents that cost nothing."""
+    docs = messy.withColumn("mix", F.lit(1)).withColumn("row", F.lit("r")).withColumn("label", F.lit(2)).withColumn("rate", F.lit(3)).withColumn("weight", F.lit(4))
+    found = mixing.mix_sources(docs)
+    assert found.filter("mix.selected").select("row.*").columns == docs.columns and found.count() == docs.count()
+    assert found.filter("mix.n_tokens = 0 AND (mix.probability <> 1 OR NOT mix.selected)").isEmpty()
+    own = mixing.mix_sources(docs, topic=F.col("name"), tokens=F.col("n_chars")).select("row.n_chars", "mix.*").collect()
+    assert all(r.topic == "x" and r.n_tokens == (r.n_chars or 0) for r in own)
+
+
+def test_op4_small_cells_can_be_drawn(spark):
+    """A cell's probability is not rounded before documents are drawn by it."""
+    rows = [(k, "w " * 50, "en", "big") for k in range(300)] + [(10_000 + k, "w", "en", "small") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mixing.mix_sources(docs, mixing.Mix(budget=0.5, targets={"source": {"big": 1 - 1e-7, "small": 1e-7}}, tolerance=1.0)).select("mix.*")
+    assert found.filter("source = 'small' AND probability = 0").count() == 3000
+    cells = spark.createDataFrame([("big", "en", "note", 15_000), ("small", "en", "note", 3000)], "source string, lang string, topic string, tokens long")
+    rates = {r.source: r.probability for r in mixing.probabilities(mixing.raked(cells, mixing.Mix(budget=0.5, targets={"source": {"big": 1 - 1e-7, "small": 1e-7}})), mixing.Mix(budget=0.5)).collect()}
+    assert 0 < rates["small"] < 5e-7 and abs(15_000 * rates["big"] + 3000 * rates["small"] - 9000) < 1e-6
+
+
+def test_op4_warns_of_targets_that_contradict(spark):
+    cells = spark.createDataFrame([("a", "en", "note", 10), ("b", "de", "note", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="source|lang"):
+        mixing.raked(cells, mixing.Mix(targets={"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}))
+
+
+def test_op4_cells_are_dealt_over_many_tasks(spark):
+    """A million cells: no window or sort brings them into few tasks."""
+    cells = spark.range(1_000_000).selectExpr("concat('s', id div 6) AS source", "concat('l', id % 2) AS lang", "concat('t', id % 3) AS topic", "1 + id % 7 AS tokens")
+    mix = mixing.Mix(rounds=2)
+    found = mixing.probabilities(mixing.raked(cells, mix), mix)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert abs(found.agg(F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens")).first()[0] - 0.8) < 1e-6
+
+
 def test_op4_samples_by_probability(spark):
     rows = [(k, "a b c d", "en", f"s{k % 3 and 1}") for k in range(6000)]
     got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), mixing.Mix(budget=0.5)).collect()
