@@ -56,7 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix selects."""
-    return mixing.mix_sources(docs).filter("mix.selected").drop("mix")
+    return mixing.mix_sources(docs).filter("mix.selected").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
