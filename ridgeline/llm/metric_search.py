@@ -44,7 +44,7 @@ class Tree:
 
     regions: int = 128
     sample: int = 4096
-    page: int = 4096
+    page: int = 1024
     node: int = 64
     block: int = 1024
 
@@ -193,9 +193,14 @@ class PageSearch:
 
 def visit(visits: DataFrame, pages: DataFrame, tops, dim: int, top: float, k: int) -> DataFrame:
     """Candidates of ``visits`` (region, query, v, bound, block) on all pages of
-    their regions: query, id, score."""
+    their regions: query, id, score.
+
+    A page is sent once to the task that reads it, and blocks of queries are
+    sent to the page.
+    """
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     homes = pages.select("page", "region")
-    blocks = visits.join(homes, "region").groupBy("page", "block").agg(F.collect_list(F.struct("query", "v", "bound")).alias("asked"))
+    blocks = visits.join(homes, "region").repartition(tasks, "page").groupBy("page", "block").agg(F.collect_list(F.struct("query", "v", "bound")).alias("asked"))
     schema = "query long, id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +212,7 @@ def visit(visits: DataFrame, pages: DataFrame, tops, dim: int, top: float, k: in
                 at, ids, score = PageSearch(page, tops.value, dim, top, k).run(qid, q, bound)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids), pa.array(score)], names=["query", "id", "score"])
 
-    return map_batches(blocks.join(pages, "page").repartition("page", "block"), run, schema)
+    return map_batches(blocks.join(pages.repartition(tasks, "page"), "page"), run, schema)
 
 
 def best(candidates: DataFrame, k: int) -> DataFrame:
@@ -220,7 +225,8 @@ def top_k(rows: DataFrame, asked: Column, k: int = 20, how: Tree = Tree(), *, id
     ``asked`` selects: query_id, rank, vec_id, score.
 
     Ties go to the smaller id.  A query is not its own candidate; rows of its
-    id are its own.  Repeated rows count once.  Rows with a null id, a null
+    id are its own.  Repeated rows count once; rows of one id with different
+    vectors are each a candidate, and their queries share the id's ranks.  Rows with a null id, a null
     vector, or null or non-finite components take no part; shorter vectors are
     continued with zeros.  Fewer candidates than ``k`` give fewer rows; an empty
     table none.  Other columns are ignored.
@@ -262,11 +268,11 @@ def top_k(rows: DataFrame, asked: Column, k: int = 20, how: Tree = Tree(), *, id
             yield pa.RecordBatch.from_arrays(cols, names=["query", "v", "bound", "region"])
 
     def visits(asking: DataFrame) -> DataFrame:
-        blocks = max(1, -(-facts["n"] // (20 * how.block)))
         found = map_batches(asking.select("query", "v", "bound"), reached, "query long, v array<double>, bound double, region int")
         return found.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
 
-    asking = queries.select(F.col("id").alias("query"), "v").withColumn("bound", F.lit(float("nan")))
+    asking = storage.materialize(queries.select(F.col("id").alias("query"), "v"), "queries").withColumn("bound", F.lit(float("nan")))
+    blocks = max(1, -(-asking.count() // how.block))
     near = storage.materialize(best(visit(visits(asking), pages, shared, dim, top, k), k).drop("rank"), "near")
     norms = asking.select("query", "v", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("q2"))
     full = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))

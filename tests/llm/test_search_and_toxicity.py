@@ -36,6 +36,16 @@ def test_op6_equals_brute_force(spark, how):
     assert got == sorted(want)
 
 
+def test_op6_when_every_row_asks(spark):
+    """The blocks of queries follow the queries that there are."""
+    rng = random.Random(3)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(200)]
+    got = sorted(tuple(r) for r in metric_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True), 3, metric_search.Tree(regions=4, page=40, node=8, block=16)).collect())
+    ints = {k: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for k, v in rows}
+    want = [(q, rank, c, -s) for q in ints for rank, (s, c) in enumerate(sorted((-int(ints[q] @ ints[c]), c) for c in ints if c != q)[:3], 1)]
+    assert got == sorted(want)
+
+
 def test_op6_with_few_and_no_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     asked = F.col("vec_id") % 20 == 0
