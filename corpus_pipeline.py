@@ -37,8 +37,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     again = storage.materialize(again, "repeated-ids")
     if again.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    repeated = kept.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))
+    repeated = kept.join(again, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row")).select("row", place.alias("place"))
+    repeated = repeated.filter("place = 1").select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
 
 
