@@ -12,6 +12,7 @@ probability, and each document is taken or not by a hash of its id.
 
 from __future__ import annotations
 
+import json
 import warnings
 from dataclasses import dataclass, field
 
@@ -54,11 +55,17 @@ def surface_topic(text: Column) -> Column:
     )
 
 
+def _literal(cells: DataFrame, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of given rows, as one literal of the plan."""
+    kind = "array<struct<" + ", ".join(f"{k}: {t}" for k, t in (f.split() for f in schema.split(", "))) + ">>"
+    return cells.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
 def _targets(cells: DataFrame, dim: str, mix: Mix) -> DataFrame:
     """(value, share) of a dimension's values."""
     given = mix.targets.get(dim)
     if given is not None:
-        return cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items()], "value string, share double")
+        return _literal(cells, [{"value": str(k), "share": float(v)} for k, v in given.items()], "value string, share double")
     sums = cells.groupBy(F.col(dim).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(mix.power)).alias("p"))
     return sums.join(F.broadcast(sums.agg(F.greatest(F.sum("p"), F.lit(1e-300)).alias("s")))).select("value", (F.col("p") / F.col("s")).alias("share"))
 
@@ -69,10 +76,10 @@ def _moved(factors: dict[str, float], sums: dict[str, float], targets: dict[str,
 
 def _with_factors(cells: DataFrame, lang: dict[str, float], topic: dict[str, float], name: str) -> DataFrame:
     """``cells`` with the product of its language's and topic's factors."""
-    rows = [(a, x, b, y) for a, x in lang.items() for b, y in topic.items()]
-    table = cells.sparkSession.createDataFrame(rows, f"a string, {name}_lang double, b string, {name}_topic double")
-    joined = cells.join(F.broadcast(table), (F.col("lang") == F.col("a")) & (F.col("topic") == F.col("b"))).drop("a", "b")
-    return joined.withColumn(name, F.col(f"{name}_lang") * F.col(f"{name}_topic")).drop(f"{name}_lang", f"{name}_topic")
+    for dim, factors in (("lang", lang), ("topic", topic)):
+        table = _literal(cells, [{"of": k, "factor": x} for k, x in factors.items()], "of string, factor double")
+        cells = cells.join(F.broadcast(table.select("of", F.col("factor").alias(f"{name}_{dim}"))), F.col(dim) == F.col("of")).drop("of")
+    return cells.withColumn(name, F.col(f"{name}_lang") * F.col(f"{name}_topic")).drop(f"{name}_lang", f"{name}_topic")
 
 
 def _source_factor(name: str) -> Column:
