@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
+from . import tokenizing
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def _tidy() -> None:
+    """Give memory that a finished task freed back to the system, as workers
+    wait for their next task for long."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str, *, tokenizes: bool = False) -> DataFrame:
+    """``df.mapInArrow``.  Workers drop the words that they know the tokens of
+    when they next run a function that does not say that it ``tokenizes``."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Batches) -> Batches:
+        if not tokenizes:
+            tokenizing.forget()
+        yield from function(batches)
+        _tidy()
+
+    return df.mapInArrow(run, schema)

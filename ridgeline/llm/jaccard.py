@@ -198,9 +198,9 @@ def verified(pairs: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
     ids = storage.materialize(led.select(F.col("leader").alias("id")).union(led.select(F.col("member").alias("id"))).distinct(), "pair-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = storage.materialize(docs.join(wanted, F.col("own_id") == F.col("id"), "left_semi").select("own_id", "own_text").distinct(), "pair-texts")
-    leaders = led.select("leader", "block", F.lit(None).cast("long").alias("member")).distinct().join(texts, F.col("leader") == F.col("own_id"))
-    members = led.select("leader", "block", "member").join(texts, F.col("member") == F.col("own_id"))
-    streams = leaders.unionByName(members).select("leader", "block", "member", "own_text")
+    leaders = led.select("leader", "block", F.lit(None).cast("long").alias("member"), F.col("leader").alias("id")).distinct()
+    roles = leaders.unionByName(led.select("leader", "block", "member", F.col("member").alias("id")))
+    streams = roles.join(texts, F.col("id") == F.col("own_id")).select("leader", "block", "member", "own_text")
     streams = streams.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("member").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

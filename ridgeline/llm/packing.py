@@ -117,7 +117,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_batches(rows, run, PIECES)
+    return map_batches(rows, run, PIECES, tokenizes=True)
 
 
 def ranked_by_length(pieces: DataFrame, salts: int) -> DataFrame:

@@ -62,7 +62,7 @@ def encode_missing(misses: DataFrame, tokenizer: str) -> DataFrame:
                 ids = enc.encode(part.column("normal").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("content"), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["content", "n_tokens"])
 
-    return map_batches(misses.select("content", "normal"), run, CACHE_SCHEMA)
+    return map_batches(misses.select("content", "normal"), run, CACHE_SCHEMA, tokenizes=True)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

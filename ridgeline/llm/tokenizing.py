@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 #: Words kept per Python worker, about 170 bytes each; beyond that the older half is forgotten.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Characters of a text that are split into words at a time.
 BLOCK_CHARS = 1 << 20
 #: Words sent to the library in one call.
@@ -182,3 +182,8 @@ def encoder(name: str) -> WordEncoder:
     if name not in _ENCODERS:
         _ENCODERS[name] = WordEncoder(name)
     return _ENCODERS[name]
+
+
+def forget() -> None:
+    """Drop the worker's encoders and their caches."""
+    _ENCODERS.clear()
