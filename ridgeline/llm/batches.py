@@ -25,15 +25,13 @@ def _tidy() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str, *, tokenizes: bool = False) -> DataFrame:
-    """``df.mapInArrow``.  Workers drop the words that they know the tokens of
-    when they next run a function that does not say that it ``tokenizes``."""
+def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df.mapInArrow``, on workers that keep little between tasks."""
     ship_package(df.sparkSession)
 
     def run(batches: Batches) -> Batches:
-        if not tokenizes:
-            tokenizing.forget()
         yield from function(batches)
+        tokenizing.forget()
         _tidy()
 
     return df.mapInArrow(run, schema)

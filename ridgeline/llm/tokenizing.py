@@ -9,8 +9,8 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
-#: Words kept per Python worker, about 170 bytes each; beyond that the older half is forgotten.
-CACHE_WORDS = 400_000
+#: Words kept in a task, about 170 bytes each; beyond that the older half is forgotten.
+CACHE_WORDS = 300_000
 #: Characters of a text that are split into words at a time.
 BLOCK_CHARS = 1 << 20
 #: Words sent to the library in one call.
@@ -178,12 +178,13 @@ def _blocks(text: str) -> Iterator[str]:
 
 
 def encoder(name: str) -> WordEncoder:
-    """The worker's encoder for a vocabulary file; its cache outlives a task."""
+    """The worker's encoder for a vocabulary file; ``forget`` empties its caches."""
     if name not in _ENCODERS:
         _ENCODERS[name] = WordEncoder(name)
     return _ENCODERS[name]
 
 
 def forget() -> None:
-    """Drop the worker's encoders and their caches."""
-    _ENCODERS.clear()
+    """Drop the words that the worker knows: a later task meets other ones."""
+    for known in _ENCODERS.values():
+        known.words, known.stems = {}, {}
