@@ -127,6 +127,7 @@ def _batch_hits(index: FingerprintIndex, batch: DataFrame, seen: DataFrame, how:
     bodies = bodies.select("name", "body", "c", "is_new", "first.own_id", "first.own_key", "first.start", "first.n", "first.lead")
     bodies = storage.materialize(bodies, "batch-bodies") if earlier else bodies
     mixed = bodies.groupBy("name").agg(F.min("body").alias("low"), F.max("body").alias("high")).select("name", (F.col("low") != F.col("high")).alias("mixed"))
+    mixed = storage.materialize(mixed, "batch-names")
     bodies = bodies.join(mixed, "name").filter((F.col("c") > 1) | F.col("mixed"))
     bodies = storage.materialize(bodies, "repeated-bodies")
 

@@ -237,7 +237,8 @@ def remove_repeated_bytes(docs: DataFrame, how: Windows = BYTES, hot_group: int
     rows = repeats.keyed(docs, id_col, text_col)
     places = repeats.occurrences(rows, how)
     again = places.groupBy("name").agg(F.count(F.lit(1)).alias("all"), F.min("body").alias("low"), F.max("body").alias("high")).filter("all > 1")
-    again = again.select("name", (F.col("low") != F.col("high")).alias("mixed"))
+    # Written, so that the join below is of two plain shuffles, which Spark can split at a common name.
+    again = storage.materialize(again.select("name", (F.col("low") != F.col("high")).alias("mixed")), "repeated-names")
     places = storage.materialize(places.join(again, "name"), "repeated-places")
     bodies = storage.materialize(repeats.merge_bodies(places.filter("mixed")), "mixed-bodies")
     sizes = bodies.groupBy("name").agg(F.count(F.lit(1)).alias("k"))
