@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship_package
-from . import tokenizing
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -31,7 +30,6 @@ def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: s
 
     def run(batches: Batches) -> Batches:
         yield from function(batches)
-        tokenizing.forget()
         _tidy()
 
     return df.mapInArrow(run, schema)

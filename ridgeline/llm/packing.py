@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import storage
 from .batches import map_batches
-from .tokenizing import encoder
+from .tokenizing import CACHE_WORDS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RULES = "rule_length long, rank_from long, rank_to long, per_bin long, first_bin long, base long"
@@ -99,11 +99,11 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return rules
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cache_words: int) -> DataFrame:
     """Token pieces of every document, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = encoder(tokenizer), end_id.to_bytes(4, "little")
+        enc, tail = encoder(tokenizer, cache_words), end_id.to_bytes(4, "little")
         for whole in batches:
             for part in K.slices(whole, "text"):
                 rows = []
@@ -135,7 +135,7 @@ def ranked_by_length(pieces: DataFrame, salts: int) -> DataFrame:
     return numbered.join(firsts, (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("first") + F.col("k")).drop("l", "s", "k", "first", "salt")
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1, *, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pack all documents into few sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = storage.materialize(cut_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = storage.materialize(cut_pieces(docs, tokenizer, capacity, end_id, cache_words), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = best_fit_plan(histogram, capacity)
     rules = spark.createDataFrame(plan, RULES)

@@ -9,8 +9,8 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
-#: Words kept in a task, about 170 bytes each; beyond that the older half is forgotten.
-CACHE_WORDS = 300_000
+#: Words kept per Python worker, about 170 bytes each; beyond that the older half is forgotten.
+CACHE_WORDS = 800_000
 #: Characters of a text that are split into words at a time.
 BLOCK_CHARS = 1 << 20
 #: Words sent to the library in one call.
@@ -82,6 +82,7 @@ class WordEncoder:
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
             self._ids = self.library.encode
 
+    cache_words = CACHE_WORDS
     #: Words that skip the library's own preparation: none, unless ``_letters`` finds some.
     plain = re.compile(r"(?!)")
 
@@ -139,7 +140,7 @@ class WordEncoder:
 
     def _know(self, words: Iterable[str]) -> None:
         """Have the ids of all of ``words`` in the cache."""
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.cache_words:
             self.words, self.stems = (dict(islice(d.items(), len(d) // 2, None)) for d in (self.words, self.stems))
         known = self.words
         self._learn([w for w in set(words) if w not in known])
@@ -177,14 +178,9 @@ def _blocks(text: str) -> Iterator[str]:
         at = end
 
 
-def encoder(name: str) -> WordEncoder:
-    """The worker's encoder for a vocabulary file; ``forget`` empties its caches."""
+def encoder(name: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
+    """The worker's encoder for a vocabulary file; its cache outlives a task."""
     if name not in _ENCODERS:
         _ENCODERS[name] = WordEncoder(name)
+    _ENCODERS[name].cache_words = cache_words
     return _ENCODERS[name]
-
-
-def forget() -> None:
-    """Drop the words that the worker knows: a later task meets other ones."""
-    for known in _ENCODERS.values():
-        known.words, known.stems = {}, {}
