@@ -12,6 +12,8 @@ from ridgeline.session import table
 
 #: Rows up to which a decision table is broadcast; longer ones join by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Words that the packing stage's workers keep, who hold memory of earlier stages too.
+CACHE_WORDS = 100_000
 #: Near duplicates of the stage; the join's defaults are those of its own query.
 NEAR = jaccard.Join(words=5, percent=80)
 
@@ -62,7 +64,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [
