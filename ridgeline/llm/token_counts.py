@@ -82,11 +82,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: st
         F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
         normalised(F.col(text_col), tokenizer).alias("normal"),
     ).withColumn("content", F.unhex(F.sha2("normal", 256)))
-    fresh = rows.select("content", "normal")
+    # Copies go before the join, in the tasks that read them.
+    fresh = rows.select("content", "normal").dropDuplicates(["content"])
     if storage.folders(spark, f"{cache_path}/{version}"):
         fresh = fresh.join(read_cache(spark, cache_path, version), "content", "left_anti")
     own = f"{cache_path}/{version}/{uuid.uuid4().hex}"
-    encode_missing(fresh.dropDuplicates(["content"]), tokenizer).write.parquet(own)
+    encode_missing(fresh, tokenizer).write.parquet(own)
     if spark.read.schema(CACHE_SCHEMA).parquet(own).isEmpty():
         storage.delete(spark, own)
     counts = read_cache(spark, cache_path, version)
