@@ -10,12 +10,13 @@ once, on the words of its texts.
 components, and finds them in two rounds.  First every member of an n-gram's
 group is held against one leader, the member with the fewest rarer n-grams;
 this ties large groups of near copies together with one pair a member.  Then
-pairs whose components still differ are held against each other, so that no
-link between components is lost.
+pairs whose components still differ are held against each other, in groups of
+one n-gram and one band of lengths, so that no link between components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -254,6 +255,44 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", F.posexplode("prefix").alias("pos", "shingle"))
 
 
+def _near_lengths(x: DataFrame, y: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Column]:
+    """``x`` and ``y`` as aliases, and the condition that a shingle of theirs is
+    common and their lengths are near.
+
+    Set sizes are cut into bands a little wider than the least ratio of two
+    sizes that link, and y stands in its own band and both next to it: a group
+    of one shingle is as many groups as its lengths have bands.
+    """
+    width = 1.001 * max(math.log(100 / percent), 1e-6)
+    own = F.floor(F.log("n") / F.lit(width))
+    x = x.withColumn("band", own).alias("x")
+    y = y.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).alias("y")
+    return x, y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & _passes("x", "y", percent)
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components among ``members`` (shingle, id,
+    n, pos, comp).  The members of a group's largest component are only held
+    against the others', so a large group of copies costs a row for each text
+    outside it, not for each pair."""
+    sizes = members.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("shingle").agg(F.max(F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    mixed = storage.materialize(mixed.select("shingle", F.col("most.comp").alias("main")), "mixed-shingles")
+    members = storage.materialize(members.join(mixed, "shingle"), "mixed")
+    x, y, near = _near_lengths(members.filter("comp <> main"), members, percent)
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    found = x.join(y, near & (F.col("x.comp") != F.col("y.comp")) & once)
+    return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _between(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``links`` (a, b) as links between the components that ``roots`` names."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias("of"), F.col("root").alias("top"))
+        links = links.join(own, F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("top", end)).drop("of", "top")
+    return links
+
+
 def linked_pairs(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every link between texts of different words: a < b (the least ids of
     their classes), common and total (sizes of intersection and union).
@@ -262,9 +301,8 @@ def linked_pairs(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_id",
     the work, grows with the links that there are.
     """
     rows, _, _, classes = _classes(docs, how, id_col, text_col)
-    x, y = _entries(classes).alias("x"), _entries(classes).alias("y")
-    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & _passes("x", "y", how.percent)
-    pairs = x.join(y, meets).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    x, y, near = _near_lengths(_entries(classes), _entries(classes), how.percent)
+    pairs = x.join(y, near & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return verified(_suffix_filter(pairs, classes, how.percent), rows, how)
 
 
@@ -301,18 +339,13 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
 
     roots = storage.materialize(components(links), "roots")
     members = shared.select("shingle", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
-    members = storage.materialize(members, "members")
-    mixed = members.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
-    mixed = storage.materialize(mixed, "mixed-shingles")
-    members = storage.materialize(members.join(mixed, "shingle", "left_semi"), "mixed")
-    x, y = members.alias("x"), members.alias("y")
-    meets = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))
-    rest = x.join(y, meets & _passes("x", "y", how.percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
+    rest = _across(storage.materialize(members, "members"), how.percent).join(tried, ["a", "b"], "left_anti")
     more = verified(_suffix_filter(rest, classes, how.percent), rows, how).select("a", "b")
-    roots = storage.materialize(components(links.union(more)), "roots")
 
     named = heads.join(roots, F.col("id") == F.col("node"), "left").select(*CLASS, F.coalesce("root", "id").alias("root"))
+    if not more.isEmpty():
+        tops = storage.materialize(components(_between(more, roots)), "tops").select(F.col("node").alias("low"), F.col("root").alias("top"))
+        named = named.join(tops, F.col("root") == F.col("low"), "left").select(*CLASS, F.coalesce("top", "root").alias("root"))
     placed = known.select("own_id", *CLASS).alias("k").join(named.alias("h"), _same_class(), "left")
     out = placed.select("k.own_id", "k.n_shingles", F.when(F.col("k.own_id").isNotNull(), F.coalesce("h.root", "k.own_id")).alias("component_id"))
     return out.withColumnRenamed("own_id", id_col)

@@ -430,6 +430,30 @@ def test_op10_on_chains_of_edits(spark):
     assert len({w[2] for w in want}) < len(docs)
 
 
+@pytest.mark.parametrize("percent", [50, 85, 100])
+def test_op10_candidates_between_components(spark, percent):
+    """Those of all pairs that the filters pass, however large one component is."""
+    rng = random.Random(percent)
+    rows = {(s, k): (s, k, rng.choice([20, 21, 40, 47, 48, 90]), rng.randint(0, 6), rng.choice([0, 0, 0, 0, 1, 2, k])) for s in range(6) for k in range(3, 70)}
+    rows |= {(9, k): (9, k, 30, 0, 0) for k in range(50)}
+    sets = list(rows.values())
+
+    def meets(x, y):
+        most = min(x[2] - x[3], y[2] - y[3])
+        near = 100 * min(x[2], y[2]) >= percent * max(x[2], y[2]) and (100 + percent) * most >= percent * (x[2] + y[2])
+        return x[0] == y[0] and x[1] < y[1] and x[4] != y[4] and near
+
+    want = {(x[1], y[1]) for x in sets for y in sets if meets(x, y)}
+    got = jaccard._across(spark.createDataFrame(sets, "shingle long, id long, n long, pos int, comp long"), percent).collect()
+    assert want and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_op10_components_tied_by_later_links(spark):
+    links = spark.createDataFrame([(5, 9), (7, 20), (30, 31)], "a long, b long")
+    roots = spark.createDataFrame([(5, 1), (9, 4), (20, 7)], "node long, root long")
+    assert {tuple(r) for r in jaccard._between(links, roots).collect()} == {(1, 4), (7, 7), (30, 31)}
+
+
 def test_anchors_depend_on_content_alone():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 3, 400).astype(np.uint64)
