@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard, line_dedup, metric_search, mixing, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity
+from . import jaccard, line_dedup, metric_search, mixing, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,11 @@ def op10_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, root, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
+    """Sixteen whitened components of every usable vector."""
+    return whitening.whiten(table(spark, root, "embeddings"))
+
+
 def op13_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of all documents."""
     return line_dedup.drop_repeated_lines(table(spark, root, "documents"), keep_text=False)
@@ -72,13 +77,13 @@ def queries() -> dict[str, Query]:
     found = (
         op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_source_mixing, op5_toxicity,
         op6_metric_top_k, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard,
-        op13_line_dedup,
+        op11_embedding_whitening, op13_line_dedup,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Tokenizers (2, 7) and a trained model (5) are beyond SQL."""
+    """Tokenizers (2, 7), a trained model (5) and eigenvectors (11) are beyond SQL."""
     return {
         "op1_suffix_dedup": suffix_dedup.SQL,
         "op3_quality_rules": quality.SQL,
