@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import jaccard, line_dedup, metric_search, mixing, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity, whitening
+from . import conversation_repair, jaccard, line_dedup, metric_search, mixing, packing, quality, secret_scan, substring_index, suffix_dedup, token_counts, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,12 @@ def op11_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
     return whitening.whiten(table(spark, root, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, root: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every damaged conversation."""
+    conversations = table(spark, root, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(conversations), every=conversations)
+
+
 def op13_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of all documents."""
     return line_dedup.drop_repeated_lines(table(spark, root, "documents"), keep_text=False)
@@ -77,7 +83,7 @@ def queries() -> dict[str, Query]:
     found = (
         op1_suffix_dedup, op2_token_counts, op3_quality_rules, op4_source_mixing, op5_toxicity,
         op6_metric_top_k, op7_best_fit_packing, op8_secret_scans, op9_substring_dedup, op10_ngram_jaccard,
-        op11_embedding_whitening, op13_line_dedup,
+        op11_embedding_whitening, op12_conversation_repair, op13_line_dedup,
     )
     return {f.__name__: f for f in found}
 
@@ -92,5 +98,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_secret_scans": secret_scan.sql(),
         "op9_substring_dedup": substring_index.SQL,
         "op10_ngram_jaccard": jaccard.SQL,
+        "op12_conversation_repair": conversation_repair.SQL,
         "op13_line_dedup": line_dedup.SQL,
     }
