@@ -29,7 +29,7 @@ def cheapest(turns):
         for _ in range(4):
             for q, (cost, audit, out) in list(now.items()):
                 to, role = FORCED[q]
-                offer(now, to, (cost + 2, audit + "I", (*out, f"{role}:")))
+                offer(now, to, (cost + 2, audit + "I", (out, f"{role}:")))
         return now
 
     for role, text, fault in turns:
@@ -39,12 +39,17 @@ def cheapest(turns):
             if fault not in ("blank", "duplicate"):
                 more = fault == "truncated"
                 if (q, role[:1]) in KEPT:
-                    offer(new, KEPT[q, role[:1]], (cost + more, audit + "K", (*out, f"{role}:{text}")))
+                    offer(new, KEPT[q, role[:1]], (cost + more, audit + "K", (out, f"{role}:{text}")))
                 to, other = FORCED[q]
-                offer(new, to, (cost + 2 + more, audit + "R", (*out, f"{other}:{text}")))
+                offer(new, to, (cost + 2 + more, audit + "R", (out, f"{other}:{text}")))
         now = new
     ends = inserts(now)
-    return min(ends[q] for q in (0, 3) if q in ends)
+    cost, audit, out = min((ends[q] for q in (0, 3) if q in ends), key=lambda e: e[:2])
+    lines = []
+    while out:
+        out, line = out
+        lines.append(line)
+    return cost, audit, lines[::-1]
 
 
 def by_hand(rows, ids=()):
@@ -113,7 +118,7 @@ def test_chunks_traced_apart_give_the_same_edits(spark):
 
 
 def test_a_long_conversation_of_equal_turns(spark):
-    turns = spark.range(60_000).selectExpr("1L AS conv_id", "id DIV 4 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "if(id % 3 = 0, 'Same.', concat('Turn ', id DIV 2, '.')) AS text")
+    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id DIV 4 AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "if(id % 3 = 0, 'Same.', concat('Turn ', id DIV 2, '.')) AS text")
     got = reported(repair_report(turns))
     assert got == by_hand([tuple(r) for r in turns.collect()])
 
