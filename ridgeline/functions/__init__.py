@@ -22,17 +22,5 @@ def url_host(url: str | Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-#: Blanks between words, and the letters that are lowered.
+#: Fixed value: blanks between words.
 BLANKS = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def lower_ascii(text: str | Column) -> Column:
-    """A to Z in lower case, all else unchanged."""
-    return F.translate(text, _UPPER, _LOWER)
-
-
-def words(text: Column) -> Column:
-    """The runs of a text without blanks, in order; none for null."""
-    found = F.split(F.trim(text, F.lit(BLANKS)), "[ \\t\\n\\x0b\\x0c\\r]+")
-    return F.coalesce(F.filter(found, lambda w: w != ""), F.array().cast("array<string>"))

@@ -1,11 +1,8 @@
-"""A Bloom filter of 64-bit hashes as an array of longs inside a plan.
-
-It reaches the tasks as the value of a scalar subquery, so rows of the large
-side are tested in the stage that makes them, before any shuffle.
-"""
+"""A Bloom filter of 64-bit hashes: built by Spark, sent to its tasks."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,25 +19,32 @@ def _places(h: Column, bits: int) -> list[Column]:
 
 
 class Bloom:
-    """Filter of the hashes in a column of a table whose rows were counted."""
-
-    def __init__(self, hashes: DataFrame, column: str, keys: int):
-        self.bits = min(MOST_BITS, 1 << max(10, (keys * BITS_PER_KEY - 1).bit_length()))
-        #: False where so many keys would fill the largest filter: it then lets all pass.
-        self.useful = keys * LEAST_PER_KEY <= self.bits
-        if self.useful:
-            at = hashes.select(F.explode(F.array(*_places(F.col(column), self.bits))).alias("at"))
-            one = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-            words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-            every = hashes.sparkSession.range(self.bits // 64).join(words, F.col("id") == F.col("word"), "left")
-            packed = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
-            self.table = packed.select(F.col("all.bits"))
-
-    def holds(self, h: Column) -> Column:
-        """False only for hashes that are not in the table."""
-        if not self.useful:
-            return F.lit(True)
-        words, found = self.table.scalar(), F.lit(True)
-        for at in _places(h, self.bits):
-            found = found & (F.getbit(words[F.shiftright(at, 6).cast("int")], at.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return found
+    """The filter as an array of words, small enough to be sent to every task."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Indices of the hashes (unsigned) that may be in the table; the others
+        are not."""
+        at = np.arange(len(h))
+        start, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(PROBES):
+            place = (start[at] + step[at] * np.uint64(i)) & np.uint64(len(self.words) * 64 - 1)
+            at = at[(self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+        return at
+
+
+def bloom_of(hashes: DataFrame, column: str, keys: int) -> Bloom | None:
+    """Filter of a column of hashes (long) with ``keys`` rows; None where that
+    many would fill the largest filter, and nothing is gained by one.  Bits are
+    set by Spark; the driver gets the words that are not zero."""
+    bits = min(MOST_BITS, 1 << max(10, (keys * BITS_PER_KEY - 1).bit_length()))
+    if keys * LEAST_PER_KEY > bits:
+        return None
+    at = hashes.select(F.explode(F.array(*_places(F.col(column), bits))).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 AS int))")
+    found = at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    words = np.zeros(bits // 64, dtype=np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Bloom(words)

@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lower_ascii, words
 from ..sources.scratch import materialize
-from .bloom import Bloom
-
-
-def _grams(hashes: Column, n: int) -> Column:
-    """Hashes of all n-grams of an array of word hashes, in order."""
-    places = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(hashes, i, n)))
-
-
-def _placed(texts: DataFrame, n: int) -> DataFrame:
-    """(id, place, h): a row for each n-gram; only hashes are exploded."""
-    # Exploding an array of one keeps the words from being split for every n-gram.
-    hashed = texts.select("id", F.explode(F.array(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)))).alias("hashes"))
-    return hashed.select("id", F.posexplode(_grams(F.col("hashes"), n)).alias("place", "h"))
+from .bloom import bloom_of
+from .ngrams import found_grams
 
 
 def containment_join(docs: DataFrame, items: DataFrame, n: int = 8, least: float = 0.0, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -31,33 +18,20 @@ def containment_join(docs: DataFrame, items: DataFrame, n: int = 8, least: float
     the document has, and share their ratio.  Words are runs without blanks, A
     to Z in lower case.  Items are the small side: their n-grams' hashes become
     a Bloom filter, which the documents' n-grams meet where they are made, so
-    that little more than true hits is shuffled; beyond the filter's bound they
-    are shuffled whole.  Hits are then verified on the words themselves, in the
-    documents that have any.
+    that little more than true hits is shuffled; beyond the filter's bound all
+    of them are.  The join is then on the n-grams' words themselves.
 
     Null texts and texts of fewer than ``n`` words have no n-grams.  Rows of one
     id are one text each but one document (or item): their n-grams are united.
     Rows without an id take no part.  Empty tables give no rows; other columns
     are ignored.
     """
-    left = docs.select(F.col(doc_id).alias("id"), lower_ascii(F.col(text)).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    right = items.select(F.col(item_id).alias("id"), lower_ascii(F.col(text)).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    cut = right.select("id", F.explode(F.array(words(F.col("text")))).alias("words"))
-    spans = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
-    cut = cut.select("id", F.explode(F.array_distinct(F.transform(spans, lambda i: F.concat_ws(" ", F.slice("words", i, n))))).alias("gram")).distinct()
-    hashed = F.xxhash64(F.transform(F.split("gram", " "), lambda w: F.xxhash64(w)))
-    wanted = materialize(cut.select(F.col("id").alias("item"), "gram", hashed.alias("h")), "item-grams")
+    left, right = (t.select(F.col(c).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL") for t, c in ((docs, doc_id), (items, item_id)))
+    wanted = materialize(found_grams(right, n, hashes=True).distinct(), "item-grams").withColumnRenamed("id", "item")
     totals = wanted.groupBy("item").agg(F.count(F.lit(1)).alias("n_ngrams"))
-
     keys = wanted.select("h").distinct()
-    near = _placed(left, n).filter(Bloom(keys, "h", keys.count()).holds(F.col("h")))
-    # Every place of a hit is kept, as two n-grams of one hash are told apart only by their words.
-    hits = near.join(keys, "h", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
-    hits = materialize(hits.select(F.col("id").alias("own"), "places"), "contained-places")
-    found = left.join(hits, F.col("id") == F.col("own")).select("id", F.explode(F.array(words(F.col("text")))).alias("words"), "places")
-    # Rows that share an id may be shorter than another row's places.
-    inside = F.filter("places", lambda p: p + n <= F.size("words"))
-    found = found.select("id", F.explode(F.array_distinct(F.transform(inside, lambda p: F.concat_ws(" ", F.slice("words", p + 1, n))))).alias("gram"))
-    pairs = found.distinct().join(wanted.select("item", "gram"), "gram").groupBy("id", "item").agg(F.count(F.lit(1)).alias("n_found"))
+    # Copies of a document's n-gram go within the tasks, so a common one is a row for each document.
+    found = found_grams(left, n, bloom_of(keys, "h", keys.count())).distinct()
+    pairs = found.join(wanted.select("item", "gram"), "gram").groupBy("id", "item").agg(F.count(F.lit(1)).alias("n_found"))
     share = (F.col("n_found") / F.col("n_ngrams")).alias("share")
     return pairs.join(totals, "item").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_ngrams", "n_found", share).filter(F.col("share") >= least)

@@ -2,13 +2,15 @@ import html
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import SMALL, in_duckdb, same_rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from ridgeline.operators import bloom
+from ridgeline.operators import bloom, ngrams
 from ridgeline.operators.containment import containment_join
+from ridgeline.operators.ngrams import found_grams
 from ridgeline.operators.page_blocks import BLOCKS, FLAT, blocks_of, page_blocks
 from ridgeline.plans import text
 from ridgeline.session import table
@@ -63,19 +65,29 @@ def test_containment_of_empty_tables(spark):
 
 def test_few_n_grams_pass_the_filter(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    tried = spark.range(200_000).select("id", F.xxhash64("id").alias("h")).filter(bloom.Bloom(keys, "h", 1000).holds(F.col("h")))
-    passed = {r.id for r in tried.collect()}
+    tried = np.array([r.h for r in spark.range(200_000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64)
+    passed = set(bloom.bloom_of(keys, "h", 1000).holds(tried).tolist())
     assert passed >= set(range(1000)) and len(passed) < 1400
 
 
 def test_the_filter_is_met_before_any_shuffle(spark):
-    plan = containment_join(table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark"))
-    assert plan.count()
-    source = containment_join.__globals__["_placed"](spark.createDataFrame([(1, "a b")], "id long, text string"), 2)
-    keys = spark.range(5).select(F.xxhash64("id").alias("h"))
-    physical = source.filter(bloom.Bloom(keys, "h", 5).holds(F.col("h")))._jdf.queryExecution().executedPlan().toString()
-    main = physical.split("Subquery")[0]
-    assert "getbit" in main and "Exchange" not in main
+    docs = spark.createDataFrame([(k, f"a b c d {k} e") for k in range(200)], "id long, text string")
+    keys = found_grams(docs.filter("id = 7"), 3, hashes=True)
+    assert {tuple(r) for r in found_grams(docs, 3, bloom.bloom_of(keys, "h", 4)).distinct().collect()} == {(k, g) for k in range(200) for g in ("a b c", "b c d")} | {(7, "c d 7"), (7, "d 7 e")}
+    assert "Exchange" not in found_grams(docs, 3, bloom.bloom_of(keys, "h", 4))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_long_texts_are_read_in_overlapping_parts(spark, monkeypatch, n):
+    rng = random.Random(n)
+    texts = [rng.choice(BLANK).join("x" * rng.randint(0, 9) + rng.choice("aBc\xe9") for _ in range(400)) for _ in range(5)] + ["y" * 300 + " z " + "y" * 300, "  a a a a a  ", "\n" * 500]
+    for part in (16, 64, 1000):
+        monkeypatch.setattr(ngrams, "PART", part)
+        got = {}
+        for rows, data in ngrams._parts([t.encode() for t in texts], n):
+            for row, piece in zip(rows, data):
+                got.setdefault(row, set()).update(grams(piece.decode(), n))
+        assert got == {k: grams(t, n) for k, t in enumerate(texts)}
 
 
 def by_character(page):
