@@ -10,6 +10,7 @@ from ..operators.asof import asof_join
 from ..operators.interval import interval_join
 from ..session import table
 from ..streaming import run_to_end, windowed_counts
+from ..streaming.patterns import Steps, closed_sequences
 
 
 def event_property_totals(spark: SparkSession, root: str) -> DataFrame:
@@ -59,7 +60,16 @@ def pages_by_host(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").groupBy(url_host("url").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-QUERIES = (event_property_totals, daily_counts, daily_counts_stream, user_sessions, last_click_before_purchase, errors_near_purchases, pages_by_host)
+def view_click_purchase_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Purchases within a day of a view that a click lies between, of those that the stream's
+    watermark closes."""
+    source = spark.readStream.schema(table(spark, root, "events").schema).parquet(f"{root}/event[s].parquet")
+    found = closed_sequences(spark, source, Steps(seconds=86_400))
+    times = [F.timestamp_micros(c).cast("timestamp_ntz").alias(n) for c, n in (("first", "view_ts"), ("last", "purchase_ts"))]
+    return found.select(F.col("key").alias("user_id"), *[F.col("ids")[k].alias(n) for k, n in enumerate(("view_id", "click_id", "purchase_id"))], *times)
+
+
+QUERIES = (event_property_totals, daily_counts, daily_counts_stream, user_sessions, last_click_before_purchase, errors_near_purchases, pages_by_host, view_click_purchase_stream)
 
 _DAILY = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
@@ -79,5 +89,13 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON b.user_id
     "errors_near_purchases": """
 SELECT e.event_id AS error_id, p.event_id AS purchase_id FROM events e JOIN events p
 ON e.ts >= p.ts - INTERVAL 5 MINUTE AND e.ts < p.ts + INTERVAL 5 MINUTE WHERE e.event_type = 'error' AND p.event_type = 'purchase'""",
+    "view_click_purchase_stream": """
+WITH e AS (
+  SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER before AS view_id,
+    last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER before AS click_id FROM events
+  WINDOW before AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT p.user_id, c.view_id, p.click_id, p.event_id AS purchase_id, v.ts AS view_ts, p.ts AS purchase_ts
+FROM e p JOIN e c ON c.event_id = p.click_id JOIN e v ON v.event_id = c.view_id
+WHERE p.event_type = 'purchase' AND p.ts - v.ts <= INTERVAL 1 DAY AND p.ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('view', 'click', 'purchase'))""",
     "pages_by_host": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
 }

@@ -17,10 +17,12 @@ def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hou
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+def run_to_end(spark: SparkSession, stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Run a stream over what its source holds, into Parquet files, and read
-    the result.  Offsets and state are kept in the shared folder."""
-    path = scratch.new_path(spark, label)
+    the result.  Offsets and state are kept beside them, in the shared folder
+    where no ``path`` is given; a call with the path of an earlier one goes on
+    where that ended."""
+    path = path or scratch.new_path(spark, label)
     schema = stream.schema
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
     query.awaitTermination()
