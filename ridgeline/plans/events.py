@@ -11,6 +11,7 @@ from ..operators.interval import interval_join
 from ..session import table
 from ..streaming import run_to_end, windowed_counts
 from ..streaming.patterns import Steps, closed_sequences
+from ..streaming.upsert import upsert_stream
 
 
 def event_property_totals(spark: SparkSession, root: str) -> DataFrame:
@@ -69,7 +70,13 @@ def view_click_purchase_stream(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("key").alias("user_id"), *[F.col("ids")[k].alias(n) for k, n in enumerate(("view_id", "click_id", "purchase_id"))], *times)
 
 
-QUERIES = (event_property_totals, daily_counts, daily_counts_stream, user_sessions, last_click_before_purchase, errors_near_purchases, pages_by_host, view_click_purchase_stream)
+def latest_events_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Each user's latest event of each type, kept up by a stream of upserts."""
+    source = spark.readStream.schema(table(spark, root, "events").schema).parquet(f"{root}/event[s].parquet")
+    return upsert_stream(spark, source.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+QUERIES = (event_property_totals, daily_counts, daily_counts_stream, user_sessions, last_click_before_purchase, errors_near_purchases, pages_by_host, view_click_purchase_stream, latest_events_stream)
 
 _DAILY = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
@@ -97,5 +104,6 @@ WITH e AS (
 SELECT p.user_id, c.view_id, p.click_id, p.event_id AS purchase_id, v.ts AS view_ts, p.ts AS purchase_ts
 FROM e p JOIN e c ON c.event_id = p.click_id JOIN e v ON v.event_id = c.view_id
 WHERE p.event_type = 'purchase' AND p.ts - v.ts <= INTERVAL 1 DAY AND p.ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('view', 'click', 'purchase'))""",
+    "latest_events_stream": "SELECT user_id, event_type, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "pages_by_host": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, count(*) AS pages FROM pages GROUP BY 1",
 }
