@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, revenue
 from ..session import table
+from ..sources import scratch
+from ..sources.history import History
 
 
 def revenue_by_nation(spark: SparkSession, root: str) -> DataFrame:
@@ -89,12 +93,32 @@ def suppliers_in_both(spark: SparkSession, root: str) -> DataFrame:
 
 _REVENUE = "CAST(l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(12,2)) - CAST(l_discount AS DECIMAL(12,2)))"
 
+def customer_priority_as_of(spark: SparkSession, root: str) -> DataFrame:
+    """The priority of each customer's latest order by the start of 1999, as
+    known from finished orders, and as known once the others were recorded."""
+    orders = table(spark, root, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderdate").alias("valid_from"), "o_orderstatus")
+    history = History(spark, scratch.new_path(spark, "priorities"), ["o_custkey"], ["o_orderpriority"])
+    loads = {1: (datetime(2002, 1, 1), "o_orderstatus = 'F'"), 2: (datetime(2003, 1, 1), "o_orderstatus <> 'F'")}
+    for at, which in loads.values():
+        history.merge(orders.filter(which), at)
+    found = [history.as_of(datetime(1999, 1, 1), at).withColumn("load", F.lit(load)) for load, (at, _) in loads.items()]
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_to")]
+    return found[0].unionByName(found[1]).select("load", "o_custkey", "o_orderpriority", *times)
+
+
 QUERIES = (
     revenue_by_nation, pricing_summary, nation_rollup, orders_cube, status_pivot, customers_without_urgent,
     orders_without_lines, top_customers, moving_total, parts_never_returned, suppliers_in_both,
+    customer_priority_as_of,
 )
 
 SQL = {
+    "customer_priority_as_of": """
+WITH known AS (
+  SELECT load, o_custkey, o_orderdate AS valid_from, o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS since FROM orders, (VALUES (1), (2)) l(load) WHERE load >= since),
+points AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY load, o_custkey, valid_from ORDER BY since DESC, o_orderpriority DESC) = 1),
+line AS (SELECT *, lead(valid_from) OVER (PARTITION BY load, o_custkey ORDER BY valid_from) AS valid_to FROM points)
+SELECT load, o_custkey, o_orderpriority, valid_from, valid_to FROM line WHERE valid_from <= TIMESTAMP '1999-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1999-01-01')""",
     "revenue_by_nation": f"""
 SELECT r_name, n_name, CAST(sum({_REVENUE}) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
