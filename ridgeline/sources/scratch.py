@@ -24,8 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ridgeline/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/ridgeline/{label}-{uuid.uuid4().hex}"
+    """A fresh place among this session's intermediate tables."""
+    return f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -62,6 +67,6 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Remove all intermediate tables that this library wrote in the session's
-    shared folder.  DataFrames that read them no longer work."""
-    delete(spark, f"{shared_dir(spark)}/ridgeline")
+    """Remove the intermediate tables that this session wrote; those of others
+    in the shared folder stay.  DataFrames that read them no longer work."""
+    delete(spark, _session_dir(spark))
