@@ -297,14 +297,17 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, width: int, ho
 def learnable_rows(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, toxic) of all documents outside the fold that is held out,
     and of the sample of at most ``how.rows`` of them; toxic is null where no
-    label is known or the row is outside the sample."""
+    label is known or the row is outside the sample.  Of rows that share an id
+    the sample has the one of least hash of its text."""
     free = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     marks = labels.filter(free & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     rows = docs.filter(free).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id").distinct().join(marks, "doc_id", "left")
     chosen = ids.orderBy(F.col("toxic").isNull(), F.xxhash64("doc_id"), "doc_id").limit(how.rows)
     chosen = F.broadcast(storage.materialize(chosen, "training-ids"))
-    sample = storage.materialize(rows.join(chosen, "doc_id").dropDuplicates(["doc_id"]), "training")
+    # Of rows that share an id, the text of least hash.
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("first")
+    sample = storage.materialize(rows.join(chosen, "doc_id").groupBy("doc_id").agg(first).select("doc_id", "first.text", "first.toxic"), "training")
     return rows.join(chosen, "doc_id", "left"), sample
 
 

@@ -208,7 +208,7 @@ def test_pipeline_equals_its_parts(spark):
     clean = docs.join(toxicity.toxicity(docs, table(spark, SMALL, "labels")).filter("predicted = 0").select("doc_id"), "doc_id", "left_semi")
     from test_against_brute_force import component_of
 
-    kept = {d for d, _, c in component_of([(r.doc_id, r.text) for r in clean.collect()]) if d == c}
+    kept = {d for d, _, c in component_of([(r.doc_id, r.text) for r in clean.collect()], 5, 80) if d == c}
     second = corpus_pipeline.storage.materialize(corpus_pipeline.keep_one_of_near_duplicates(spark, clean.select(docs.columns), SMALL), "second")
     assert {r.doc_id for r in second.collect()} == kept
     final = {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()}
@@ -229,6 +229,24 @@ def test_pipeline_drops_copies_of_80_percent(spark):
     assert {r.doc_id for r in got.collect()} == kept
 
 
+def test_odd_column_names_pass_the_stages(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "a.b", "c`d", "row", "spans", "label"]
+    texts = ["some words of a text number one", "some words of a text number one", "another text, password = hunter2hunter2x", None]
+    docs = spark.createDataFrame([(k % 3, t, "en", "s", len(t or ""), "x", "y", 1, 2, 3) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, `c``d` string, row int, spans int, label int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.storage.materialize(stage(spark, docs, SMALL), name)
+        assert docs.columns == names
+    assert docs.count() and corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count()
+
+
+def test_repeated_ids_train_on_one_text(spark):
+    rows = [(1, f"text {k}") for k in range(9)] + [(2, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    chosen = [{(r.doc_id, r.text) for r in toxicity.learnable_rows(docs.repartition(n), labels, toxicity.Training())[1].collect()} for n in (1, 7)]
+    assert chosen[0] == chosen[1] and len(chosen[0]) == len({r[0] for r in rows if __import__("zlib").crc32(str(r[0]).encode()) % 5})
+
+
 def test_pipeline_on_empty_documents(spark, nothing):
     docs = nothing
     for _, stage in corpus_pipeline.STAGES:
