@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ class Tree:
     regions: int = 128
     sample: int = 4096
     page: int = 1024
-    node: int = 64
+    node: int = 16
     block: int = 1024
 
 
@@ -141,6 +142,8 @@ class PageSearch:
         self.radius, self.up, self.parent = (np.frombuffer(page[c], np.float64) for c in ("node_radius", "node_parent", "entry_parent"))
         self.ends = np.frombuffer(page["node_ends"], np.int64)
         self.above, self.top, self.k = tops[page["region"]], top, k
+        #: Pairs of a query and an entry whose score was computed.
+        self.computed = 0
 
     def run(self, qid: np.ndarray, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query index, id, score) of up to k best entries of each query within
@@ -169,6 +172,7 @@ class PageSearch:
             if high <= low:
                 continue
             score = q[rows] @ self.x[low:high].T
+            self.computed += score.size
             distance = np.sqrt(np.maximum(norms[rows][:, None] + self.top - 2 * score, 0))
             keep = (distance <= reach[:, None]) & (self.ids[None, low:high] != qid[rows][:, None])
             r, c = np.nonzero(keep)
@@ -191,7 +195,7 @@ class PageSearch:
         return row[keep], ids[keep], score[keep]
 
 
-def visit(visits: DataFrame, pages: DataFrame, tops, dim: int, top: float, k: int) -> DataFrame:
+def visit(visits: DataFrame, pages: DataFrame, tops, dim: int, top: float, k: int, counter: Accumulator | None = None) -> DataFrame:
     """Candidates of ``visits`` (region, query, v, bound, block) on all pages of
     their regions: query, id, score.
 
@@ -209,7 +213,10 @@ def visit(visits: DataFrame, pages: DataFrame, tops, dim: int, top: float, k: in
                 page = {c: batch.column(c)[row].as_py() for c in batch.schema.names if c not in ("asked", "page", "block")}
                 asked = batch.column("asked").slice(row, 1).flatten()
                 qid, q, bound = asked.field("query").to_numpy(), _stack(asked.field("v"), dim), asked.field("bound").to_numpy()
-                at, ids, score = PageSearch(page, tops.value, dim, top, k).run(qid, q, bound)
+                search = PageSearch(page, tops.value, dim, top, k)
+                at, ids, score = search.run(qid, q, bound)
+                if counter is not None:
+                    counter.add(search.computed)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids), pa.array(score)], names=["query", "id", "score"])
 
     return map_batches(blocks.join(pages.repartition(tasks, "page"), "page"), run, schema)
@@ -220,7 +227,7 @@ def best(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def top_k(rows: DataFrame, asked: Column, k: int = 20, how: Tree = Tree(), *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
+def top_k(rows: DataFrame, asked: Column, k: int = 20, how: Tree = Tree(), *, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, counter: Accumulator | None = None) -> DataFrame:
     """The ``k`` rows of largest integer inner product for every row that
     ``asked`` selects: query_id, rank, vec_id, score.
 
@@ -230,6 +237,11 @@ def top_k(rows: DataFrame, asked: Column, k: int = 20, how: Tree = Tree(), *, id
     vector, or null or non-finite components take no part; shorter vectors are
     continued with zeros.  Fewer candidates than ``k`` give fewer rows; an empty
     table none.  Other columns are ignored.
+
+    ``counter``, an accumulator of the caller, is raised by the pairs of query
+    and entry that were computed (more where tasks ran twice).  How many that
+    are depends on the data: bounds skip what lies in other clusters, and
+    nothing where all vectors are about as far from each other.
     """
     spark = rows.sparkSession
     vectors = storage.materialize(integer_vectors(rows, id_col, vector_col, scale).dropDuplicates(), "vectors")
@@ -273,12 +285,12 @@ def top_k(rows: DataFrame, asked: Column, k: int = 20, how: Tree = Tree(), *, id
 
     asking = storage.materialize(queries.select(F.col("id").alias("query"), "v"), "queries").withColumn("bound", F.lit(float("nan")))
     blocks = max(1, -(-asking.count() // how.block))
-    near = storage.materialize(best(visit(visits(asking), pages, shared, dim, top, k), k).drop("rank"), "near")
+    near = storage.materialize(best(visit(visits(asking), pages, shared, dim, top, k, counter), k).drop("rank"), "near")
     norms = asking.select("query", "v", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("q2"))
     full = near.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"))
     limit = F.when(F.col("n") == k, F.sqrt(F.greatest(F.col("q2") + top - 2 * F.col("worst"), F.lit(0.0)))).otherwise(float("inf"))
     bounded = norms.join(full, "query", "left").select("query", "v", limit.alias("bound"))
-    rest = visit(visits(bounded), pages, shared, dim, top, k)
+    rest = visit(visits(bounded), pages, shared, dim, top, k, counter)
     return best(near.union(rest), k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
 
 

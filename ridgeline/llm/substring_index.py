@@ -10,7 +10,6 @@ their words.  Runs of like size are compacted into one when there are too many.
 from __future__ import annotations
 
 import hashlib
-import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,13 +40,14 @@ class FingerprintIndex:
     An index is opened again by its ``root``, in any session; what a call that
     failed wrote half is not read.  One call writes at a time.  ``fanout``: runs
     of like size from which on they are merged, so that a row is rewritten a
-    logarithmic number of times.
+    logarithmic number of times.  ``merges`` counts what this object merged.
     """
 
     spark: SparkSession
     root: str = ""
     buckets: int = 0
-    fanout: int = 4
+    fanout: int = 2
+    merges: int = 0
     runs: dict[str, int] = field(default_factory=dict)
     texts: list[str] = field(default_factory=list)
 
@@ -95,13 +95,16 @@ class FingerprintIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def compact(self) -> None:
-        """Merge the runs of a size class where there are ``fanout`` or more."""
-        classes: dict[int, list[str]] = {}
-        for name, rows in self.runs.items():
-            classes.setdefault(int(math.log(max(rows, 1), self.fanout)), []).append(name)
-        for old in classes.values():
+        """Merge ``fanout`` or more runs of like size: in order of their rows,
+        each holds less than ``fanout`` times the one before."""
+        tiers: list[list[str]] = []
+        for name, rows in sorted(self.runs.items(), key=lambda r: r[1]):
+            like = tiers and rows < self.fanout * max(self.runs[tiers[-1][-1]], 1)
+            tiers = [*tiers[:-1], [*tiers[-1], name]] if like else [*tiers, [name]]
+        for old in tiers:
             if len(old) >= self.fanout:
-                self.append(repeats.merge_bodies(reduce(DataFrame.unionByName, map(self.spark.table, old)), "c"))
+                self.append(repeats.merge_bodies(_united([self.spark.table(name) for name in old]), "c"))
+                self.merges += 1
                 for name in old:
                     del self.runs[name]
                     self._forget(name)
@@ -113,6 +116,14 @@ class FingerprintIndex:
         self.runs, self.texts = {}, []
 
 
+def _united(runs: list[DataFrame]) -> DataFrame:
+    """The rows of several runs.  A union of tables that are bucketed alike is
+    taken by Spark 4.1.2 as bucketed too, while it lists their partitions one
+    after another, so that a group over it falls apart; the bucket column is
+    therefore computed anew, and groups are shuffled."""
+    return reduce(DataFrame.unionByName, [r.withColumn("name", F.col("name").bitwiseXOR(F.lit(0))) for r in runs])
+
+
 def _batch_hits(index: FingerprintIndex, batch: DataFrame, seen: DataFrame, how: Windows) -> DataFrame:
     """(own_id, own_key, runs): places of ``batch`` that repeat an earlier
     document's words."""
@@ -121,7 +132,7 @@ def _batch_hits(index: FingerprintIndex, batch: DataFrame, seen: DataFrame, how:
     new = index.spark.table(index.append(repeats.merge_bodies(places)))
     names = new.select("name").distinct()
     alike = [run.join(names, "name", "left_semi") for run in earlier]
-    known = reduce(DataFrame.unionByName, [new.withColumn("is_new", F.lit(1))] + [a.withColumn("is_new", F.lit(0)) for a in alike])
+    known = _united([new.withColumn("is_new", F.lit(1))] + [a.withColumn("is_new", F.lit(0)) for a in alike])
     first = F.min(F.struct("own_id", "start", "own_key", "n", "lead")).alias("first")
     bodies = known.groupBy("name", "body").agg(F.sum("c").alias("c"), F.max("is_new").alias("is_new"), first)
     bodies = bodies.select("name", "body", "c", "is_new", "first.own_id", "first.own_key", "first.start", "first.n", "first.lead")

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from helpers import in_duckdb, same_rows
+from helpers import SMALL, in_duckdb, same_rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ridgeline.llm import jaccard, kernels, mixing, packing, quality, repeats, secret_scan, substring_index, suffix_dedup, token_counts
 from ridgeline.llm.tokenizing import WordEncoder
 
@@ -311,6 +312,26 @@ def test_op9_repeats_of_earlier_calls(spark):
     assert not again.runs and not again.texts
 
 
+def test_op9_query_merges_runs(spark, monkeypatch):
+    held = []
+    opened = substring_index.FingerprintIndex.__post_init__
+    monkeypatch.setattr(substring_index.FingerprintIndex, "__post_init__", lambda self: (opened(self), held.append(self))[0])
+    entry.queries()["op9_substring_dedup"](spark, SMALL).count()
+    assert len(held) == 1 and held[0].merges >= 1
+
+
+def test_op9_compaction_by_like_size(spark):
+    index = substring_index.FingerprintIndex(spark, buckets=2, fanout=3)
+    for rows in (1000, 1100, 20, 30, 25, 300):
+        index.append(spark.range(rows).selectExpr("id AS name", "id AS body", "1L AS c", "id AS own_id", "id AS own_key", "0L AS start", "1 AS n", "0 AS lead"))
+    index.compact()
+    assert index.merges == 1 and sorted(index.runs.values()) == [30, 300, 1000, 1100]
+    # Equal bodies of several runs are one row of the merged run.
+    merged = index.spark.table(next(name for name, rows in index.runs.items() if rows == 30))
+    assert {r.name: r.c for r in merged.collect()} == {k: 1 + (k < 25) + (k < 20) for k in range(30)}
+    index.drop()
+
+
 def test_op9_leaves_no_tables(spark, messy):
     substring_index.remove_repeats(messy).collect()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("ridgeline_")]

@@ -46,6 +46,22 @@ def test_op6_when_every_row_asks(spark):
     assert got == sorted(want)
 
 
+def test_op6_skips_other_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4
+    vectors = np.array([centres[k % 40] + rng.normal(size=16) * 0.3 for k in range(4000)])
+    computed = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in metric_search.top_k(df, F.col("vec_id") % 20 == 0, counter=computed).collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    x = np.floor(64 * vectors)
+    for k in range(0, 4000, 20):
+        best = sorted((-int(s), j) for j, s in enumerate(x @ x[k]) if j != k)[:20]
+        assert [t[1:] for t in sorted(got[k])] == best
+    assert 0 < computed.value < 0.3 * 200 * 3999
+
+
 def test_op6_with_few_and_no_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     asked = F.col("vec_id") % 20 == 0
