@@ -9,6 +9,8 @@ from ..functions import money, url_host
 from ..operators.asof import asof_join
 from ..operators.interval import interval_join
 from ..session import table
+from ..sources import scratch
+from ..sources.sketches import DailySketches
 from ..streaming import run_to_end, windowed_counts
 from ..streaming.patterns import Steps, closed_sequences
 from ..streaming.upsert import upsert_stream
@@ -76,8 +78,18 @@ def latest_events_stream(spark: SparkSession, root: str) -> DataFrame:
     return upsert_stream(spark, source.select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-QUERIES = (event_property_totals, daily_counts, daily_counts_stream, user_sessions, last_click_before_purchase, errors_near_purchases, pages_by_host, view_click_purchase_stream, latest_events_stream)
+def weekly_sketches(spark: SparkSession, root: str) -> DataFrame:
+    """Events, estimated users and quantiles of values by week and type, merged
+    from sketches of days."""
+    sketches = DailySketches(spark, scratch.new_path(spark, "sketches"), ["event_type"])
+    sketches.refresh(table(spark, root, "events"))
+    week = F.date_trunc("week", "day").cast("date").alias("week")
+    return sketches.summary(spark.read.parquet(sketches.path), [week, "event_type"])
 
+
+QUERIES = (event_property_totals, daily_counts, daily_counts_stream, user_sessions, last_click_before_purchase, errors_near_purchases, pages_by_host, view_click_purchase_stream, latest_events_stream, weekly_sketches)
+
+#: ``weekly_sketches`` are estimates and have no SQL.
 _DAILY = "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 
 SQL = {

@@ -4,7 +4,7 @@ from helpers import SMALL, in_duckdb, same_rows
 import __spark_entry__ as entry
 from ridgeline.plans import events, relational
 
-NAMES = [f.__name__ for f in (*relational.QUERIES, *events.QUERIES)]
+NAMES = [f.__name__ for f in (*relational.QUERIES, *events.QUERIES) if f.__name__ in entry.oracle_sql()]
 
 
 @pytest.mark.parametrize("name", NAMES)
