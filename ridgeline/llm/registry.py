@@ -1,4 +1,8 @@
-"""Queries of the operators and, where SQL can express them, their SQL."""
+"""Queries of the operators and, where SQL can express them, their SQL.
+
+Rows with nulls, empty and very long texts, ties, repeated rows, empty tables and
+further columns give what the operator's docstring states; no query adds a rule.
+"""
 
 from __future__ import annotations
 
