@@ -10,9 +10,10 @@ batch before; ``LateRows`` counts them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -24,6 +25,9 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+Event = tuple[int, int, int]
+
+
 @dataclass(frozen=True)
 class Steps:
     """Event types in their order; the first and the last event are at most
@@ -34,49 +38,64 @@ class Steps:
     late_seconds: int = 3600
 
 
-def chain(events: list[tuple[int, int, int]], last: tuple[int, int, int], steps: int, micros: int) -> list[tuple[int, int, int]] | None:
-    """The events (time, id, step) that lead to ``last``: each the latest of its
-    step before the next one.  None where one is missing or the first is too far
-    back; no other choice could be nearer."""
-    found, before = [last], last
-    for step in range(steps - 2, -1, -1):
-        before = max((e for e in events if e[2] == step and e[:2] < before[:2]), default=None)
+def chains(events: Iterable[Event], steps: int, micros: int) -> Iterator[list[Event]]:
+    """For each event (time, id, step) of the last step, in their order, those that
+    lead to it: each the latest of its step before the next one.  None where one
+    is missing or the first is too far back; no other choice could be nearer.
+    One pass over the events in order, however many of them are last steps."""
+    nearest: list[list[Event] | None] = [None] * steps
+    # Of one time and id, none precedes another: later steps are taken first.
+    for event in sorted(events, key=lambda e: (e[0], e[1], -e[2])):
+        before = nearest[event[2] - 1] if event[2] else []
         if before is None:
-            return None
-        found.append(before)
-    return found[::-1] if last[0] - found[-1][0] <= micros else None
+            continue
+        nearest[event[2]] = [*before, event]
+        if event[2] == steps - 1 and event[0] - nearest[-1][0][0] <= micros:
+            yield nearest[-1]
+
+
+def chain(events: Iterable[Event], last: Event, steps: int, micros: int) -> list[Event] | None:
+    """The one of ``chains`` that leads to ``last``, or None."""
+    before = [e for e in events if e[:2] < last[:2] and e[2] < steps - 1]
+    return next(chains([*before, last], steps, micros), None)
 
 
 class _Matcher(StatefulProcessor):
-    """A key's events, as far back as a later last step may need them."""
+    """A key's events, as far back as a later last step may need them.
+
+    Each call to the state and its timers is a message to the executor, so the
+    rows of a batch are one value, and a key has one timer for all that the
+    watermark passed, not one for each event.
+    """
 
     def __init__(self, steps: Steps):
         self.last, self.micros = len(steps.types) - 1, steps.seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", "at long, id long, step int")
+        self.events = handle.getListState("events", "packed binary")
+
+    def _keep(self, events: list[Event]) -> None:
+        """Sets the timer of ``events``: the first last step's time, or when none of them has a use any more."""
+        ends = [e[0] for e in events if e[2] == self.last]
+        self.handle.registerTimer(-(-min(ends) // 1000) if ends else -(-(max(e[0] for e in events) + self.micros) // 1000) + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [(r["at"], r["id"], r["step"]) for r in rows]
-        self.events.appendList(fresh)
-        # A last step is closed at its time; the others have no use so much later, whether or not one comes.
-        ends = {e[0] for e in fresh if e[2] == self.last}
-        for at in ends | {max(e[0] for e in fresh) + self.micros}:
-            self.handle.registerTimer(-(-at // 1000))
+        fresh = [(at, own, step) for _, _, at, own, step in rows]
+        self.events.appendValue((_packed(fresh),))
+        self._keep(fresh)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        events = [tuple(e) for e in self.events.get()] if self.events.exists() else []
-        for end in sorted(e for e in events if e[2] == self.last and e[0] <= until):
-            found = chain(events, end, self.last + 1, self.micros)
-            if found:
-                yield Row(key=key[0], ids=[e[1] for e in found], first=found[0][0], last=end[0])
-        # Timers come in their order: a later last step needs no event before this.
+        # A batch may pass many last steps of a key; its first timer closes them all.
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        events = [e for (packed,) in self.events.get() for e in _unpacked(packed)]
+        for found in chains((e for e in events if e[0] <= until), self.last + 1, self.micros):
+            yield Row(key=key[0], ids=[e[1] for e in found], first=found[0][0], last=found[-1][0])
         kept = [e for e in events if e[0] > until or (e[2] != self.last and e[0] >= until - self.micros)]
         if kept:
-            self.events.put(kept)
+            self.events.put([(_packed(kept),)])
+            self._keep(kept)
         else:
             self.events.clear()
 
@@ -84,6 +103,14 @@ class _Matcher(StatefulProcessor):
         pass
 
 
+def _packed(events: list[Event]) -> bytes:
+    return np.array(events, dtype="<i8").tobytes()
+
+
+def _unpacked(packed: bytes) -> list[Event]:
+    return [tuple(e) for e in np.frombuffer(packed, dtype="<i8").reshape(-1, 3).tolist()]
+
+
 class LateRows(StreamingQueryListener):
     """Rows that came behind the watermark, by query; add it to
     ``spark.streams`` before the query starts."""

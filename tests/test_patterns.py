@@ -3,8 +3,9 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql.streaming import StreamingQueryListener
 
-from ridgeline.streaming.patterns import LateRows, Steps, chain, closed_sequences
+from ridgeline.streaming.patterns import LateRows, Steps, chain, chains, closed_sequences
 
 START = datetime(2024, 1, 1)
 SCHEMA = "user_id long, event_id long, event_type string, ts timestamp_ntz"
@@ -81,6 +82,57 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert got == {(1, 4, 6, 7)} and sum(late.dropped.values()) == 1
 
 
+class Timers(StreamingQueryListener):
+    """Timers that each batch registered."""
+
+    def __init__(self):
+        self.registered = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.registered[event.progress.batchId] = sum(o.customMetrics["numRegisteredTimers"] for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def test_a_key_of_a_batch_has_one_timer(spark, tmp_path):
+    rows = made(2, 600, 3)
+    # The second batch passes only some of the first one's purchases; what is due later stays and is found then.
+    put(spark, f"{tmp_path}/in", 0, rows[:300])
+    put(spark, f"{tmp_path}/in", 1, rows[300:])
+    # Two batches later the keys are empty: timers that are left find nothing.
+    put(spark, f"{tmp_path}/in", 2, [(9, 9_000, "view", START + timedelta(days=1))])
+    put(spark, f"{tmp_path}/in", 3, [(9, 9_001, "view", START + timedelta(days=2))])
+    timers = Timers()
+    spark.streams.addListener(timers)
+    try:
+        got = closed_sequences(spark, stream(spark, f"{tmp_path}/in"), STEPS)
+        for _ in range(50):
+            if len(timers.registered) >= 4:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(timers)
+    want = by_hand(rows + [(9, 9_001, "view", START + timedelta(days=2))])
+    assert found(got) == want and got.count() == len(want) > 100
+    # One for a key's rows of a batch and at most one for what each timer leaves, not one for each of 150 purchases.
+    assert timers.registered[0] == 3 and max(timers.registered.values()) <= 8
+
+
+def test_many_last_steps_are_one_pass():
+    events = [(2 * k, k, k % 3) for k in range(300_000)]
+    found_ = list(chains(reversed(events), 3, 100))
+    assert len(found_) == 100_000 and found_[-1] == events[-3:]
+    # Of one time and id, none precedes another.
+    assert list(chains([(1, 1, 0), (1, 1, 1), (2, 1, 2), (2, 2, 1), (2, 3, 2)], 3, 100)) == [[(1, 1, 0), (2, 2, 1), (2, 3, 2)]]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_the_nearest_chain_is_found_if_any_is(seed):
     rows = made(seed, 60, 1)
