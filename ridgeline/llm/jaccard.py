@@ -35,9 +35,10 @@ from .components import components
 BROADCAST_IDS = 500_000
 #: Pairs that one copy of their more frequent text is sent for.
 PARTNERS = 64
-#: Buckets of the suffix filter's signature.
-BUCKETS = 32
-PROFILE = "own_id long, n_shingles long, words1 long, words2 long, prefix array<bigint>, buckets array<int>"
+#: Least and most buckets of the suffix filter's signature, and shingles a bucket between
+#: them: unlike sets of any size differ in most buckets.
+BUCKETS, MOST_BUCKETS, A_BUCKET = 32, 1 << 16, 8
+PROFILE = "own_id long, n_shingles long, words1 long, words2 long, prefix array<bigint>, buckets array<smallint>"
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,24 @@ def frequent_shingles(docs: DataFrame, how: Join) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast((hashes.view(K.U64)[order], counts[order]))
 
 
+def bucket_counts(h: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many hashes of each set have the same low bits, set by set, and where
+    each set's counts begin (n + 1 places).  A set has a power of two of them."""
+    n = np.diff(base)
+    wide = 1 << np.ceil(np.log2(np.clip(n / A_BUCKET, BUCKETS, MOST_BUCKETS))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(wide)])
+    place = np.repeat(at[:-1], n) + (h & np.repeat(wide - 1, n).astype(K.U64)).astype(np.int64)
+    return np.bincount(place, minlength=at[-1]).astype(np.int16), at
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the hashes that only one of two sets has, by their
+    bucket counts; the longer ones are added up to the shorter ones' number."""
+    few = min(len(x), len(y))
+    x, y = (c.reshape(-1, few).sum(axis=0, dtype=np.int64) for c in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 def profiles(docs: DataFrame, how: Join, frequent: Broadcast) -> DataFrame:
     """Set size, digest of the words, rare-first prefix and bucket counts of each document."""
 
@@ -136,13 +155,13 @@ def profiles(docs: DataFrame, how: Join, frequent: Broadcast) -> DataFrame:
                 size = np.where(n > 0, n - (how.percent * n + 99) // 100 + 1, 0)
                 cuts = np.concatenate([[0], np.cumsum(size)])
                 pick = np.arange(cuts[-1]) + np.repeat(base[:-1] - cuts[:-1], size)
-                bucket = np.bincount(doc * BUCKETS + (h % K.U64(BUCKETS)).astype(np.int64), minlength=len(n) * BUCKETS)
+                bucket, bucket_at = bucket_counts(h, base)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("own_id"), pa.array(n.astype(np.int64)),
                         pa.array(digest[:, 0]), pa.array(digest[:, 1]),
                         pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sorted_h[pick].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * BUCKETS).astype(np.int32)), pa.array(bucket.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(bucket_at.astype(np.int32)), pa.array(bucket)),
                     ],
                     names=["own_id", "n_shingles", "words1", "words2", "prefix", "buckets"],
                 )
@@ -163,9 +182,15 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     side = classes.select("id", "n", "buckets")
     a = side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("buckets").alias("ba"))
     b = side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("buckets").alias("bb"))
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, x: s + x)
-    both = F.col("na") + F.col("nb")
-    return pairs.join(a, "a").join(b, "b").filter((100 + percent) * (both - apart) >= 2 * percent * both).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            (x, at_x), (y, at_y) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (part.column("ba"), part.column("bb")))
+            apart = np.array([_apart(x[at_x[k] : at_x[k + 1]], y[at_y[k] : at_y[k + 1]]) for k in range(part.num_rows)], dtype=np.int64)
+            both = part.column("na").to_numpy() + part.column("nb").to_numpy()
+            yield part.select(["a", "b"]).filter(pa.array((100 + percent) * (both - apart) >= 2 * percent * both))
+
+    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ba", "bb"), run, "a long, b long").distinct()
 
 
 def shingle_set(text: bytes, words: int) -> set[tuple[bytes, ...]]:
@@ -260,13 +285,13 @@ def _near_lengths(x: DataFrame, y: DataFrame, percent: int) -> tuple[DataFrame,
     common and their lengths are near.
 
     Set sizes are cut into bands a little wider than the least ratio of two
-    sizes that link, and y stands in its own band and both next to it: a group
+    sizes that link, and x stands in its own band and both next to it: a group
     of one shingle is as many groups as its lengths have bands.
     """
     width = 1.001 * max(math.log(100 / percent), 1e-6)
     own = F.floor(F.log("n") / F.lit(width))
-    x = x.withColumn("band", own).alias("x")
-    y = y.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).alias("y")
+    x = x.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).alias("x")
+    y = y.withColumn("band", own).alias("y")
     return x, y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band")) & _passes("x", "y", percent)
 
 
@@ -326,19 +351,18 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), *, id_col: str = "doc_i
     """
     rows, known, heads, classes = _classes(docs, how, id_col, text_col)
     entries = _entries(classes)
-    leaders = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min_by("id", "pos").alias("id"), F.min_by("n", "pos").alias("n"), F.min("pos").alias("pos"))
-    leaders = storage.materialize(leaders.filter(F.col("members") > 1).drop("members"), "leaders")
-    shared = entries.alias("x").join(leaders.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-    shared = storage.materialize(
-        shared.select("x.shingle", "x.id", "x.n", "x.pos", (_passes("x", "y", how.percent) & (F.col("x.id") != F.col("y.id"))).alias("near"), F.col("y.id").alias("leader")), "shared"
-    )
-    pairs = shared.filter("near").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    tried = storage.materialize(pairs, "tried")
+    # Most shingles are found in one class only: they are told by a narrow count, before anything else is.
+    many = storage.materialize(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("shingle"), "many")
+    shared = storage.materialize(entries.join(many, "shingle"), "shared")
+    leaders = shared.groupBy("shingle").agg(F.min_by("id", "pos").alias("id"), F.min_by("n", "pos").alias("n"), F.min("pos").alias("pos"))
+    leaders = storage.materialize(leaders, "leaders")
+    led = shared.alias("x").join(leaders.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & _passes("x", "y", how.percent) & (F.col("x.id") != F.col("y.id")))
+    tried = storage.materialize(led.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "tried")
     links = verified(_suffix_filter(tried, classes, how.percent), rows, how).select("a", "b")
     links = links.union(_by_id(known, heads))
 
     roots = storage.materialize(components(links), "roots")
-    members = shared.select("shingle", "id", "n", "pos").join(roots, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
+    members = shared.join(roots, F.col("id") == F.col("node"), "left").select("shingle", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
     rest = _across(storage.materialize(members, "members"), how.percent).join(tried, ["a", "b"], "left_anti")
     more = verified(_suffix_filter(rest, classes, how.percent), rows, how).select("a", "b")
 

@@ -469,6 +469,28 @@ def test_op10_candidates_between_components(spark, percent):
     assert want and len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_op10_unlike_long_texts_are_no_pairs(spark):
+    """Bucket counts grow with the set: 32 of them let any two long texts pass."""
+    words = [f"w{k}" for k in range(40_000)]
+    # 4 has over 4,096 shingles, so twice as many buckets as 1, and still passes with it.
+    texts = {1: words[:4_090], 2: words[10_000:14_090], 3: words[20_000:36_000], 4: words[:4_500], 5: words[12_000:28_000]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "own_id long, own_text string")
+    known = jaccard.profiles(docs, jaccard.Join(), spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+    classes = known.selectExpr("own_id AS id", "n_shingles AS n", "buckets")
+    assert {r.id: r.k for r in classes.selectExpr("id", "size(buckets) AS k").collect()} == {1: 512, 2: 512, 3: 2048, 4: 1024, 5: 2048}
+    pairs = spark.createDataFrame([(1, 2), (1, 4), (2, 4), (3, 5)], "a long, b long")
+    assert [tuple(r) for r in jaccard._suffix_filter(pairs, classes, 85).collect()] == [(1, 4)]
+
+
+def test_op10_bucket_counts_bound_what_differs():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((0, 3, 0), (40, 300, 40), (2_000, 2_300, 1_900), (9_000, 70_000, 8_000)):
+        all_ = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64)
+        counts, at = jaccard.bucket_counts(np.concatenate([all_[:n], all_[n - common :]]), np.array([0, n, n + m]))
+        x, y = counts[: at[1]], counts[at[1] :]
+        assert (x.sum(), y.sum()) == (n, m) and abs(n - m) <= jaccard._apart(x, y) <= n + m - 2 * common
+
+
 def test_op10_components_tied_by_later_links(spark):
     links = spark.createDataFrame([(5, 9), (7, 20), (30, 31)], "a long, b long")
     roots = spark.createDataFrame([(5, 1), (9, 4), (20, 7)], "node long, root long")
